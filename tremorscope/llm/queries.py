@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -27,6 +28,30 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tokenize(table(spark, sf_dir, "documents"), word_vocabulary(), with_ids=False)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+#: A row's fold: labels are learned from rows where this isn't 0.
+FOLD = "crc32(cast(doc_id as string)) % 5"
+
+
+def op7_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"), train=f"{FOLD} <> 0")
+    return score(docs, model).select("doc_id", F.expr(f"{FOLD} = 0").alias("held_out"), "score", "predicted", "passages")
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
