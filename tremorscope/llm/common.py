@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor loses nothing.
-
-    The folder is the session's ``spark.checkpoint.dir``; one is made up only where it is unset (tests).
-    """
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and tables; one is made up only where the session names none (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that a lost executor loses nothing."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -22,6 +22,12 @@ def piece_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotation import conversations
+
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .covertree import exact_top
 
@@ -105,4 +111,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cover_tree_search": OP2_SQL}
+    from . import quotation
+
+    return {"op1_quotation_threads": quotation.SQL, "op2_cover_tree_search": OP2_SQL}

@@ -214,3 +214,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     moved = joined.select("fp", "root").join(least, "root").select("fp", "least")
     named = cut(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is their component's smallest; of an id that repeats one.
+
+    Rows without an id are kept: nothing tells which of them is which.
+    """
+    groups = near_duplicates(docs, shingle=shingle, radius=radius, id_col=id_col, text_col=text_col)
+    named = cut(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times"), F.min("component_id").alias("least")))
+    gone = named.where(F.col("least") < F.col(id_col)).select(id_col)
+    kept = docs.join(gone, id_col, "left_anti")
+    twice = named.where((F.col("times") > 1) & (F.col("least") == F.col(id_col))).select(id_col)
+    if twice.head(1):
+        kept = kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+    return kept.select(docs.columns)
