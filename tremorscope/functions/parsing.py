@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,11 +63,6 @@ def reason(response: Column, score: Column) -> Column:
 
 def strict_parsed_score(response: Column, scale: str) -> Column:
     """The same with Python's JSON and digit rules, by Arrow batches: for data in which leniency matters."""
-    import json
-    import re
-
-    import pandas as pd
-
     low, high = SCALES[scale]
 
     def one(text: str) -> float | None:

@@ -8,18 +8,26 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 2
 
-SCORE_RECORD = T.StructType.fromDDL(
-    "schema_version BIGINT, run_id STRING, env_id STRING, judge_model STRING, judge_model_version STRING, judge_tier STRING, "
-    "serving_engine STRING, quantization STRING, seed BIGINT, prompt_id STRING, paraphrase_id STRING, temperature DOUBLE, "
-    "scale STRING, task STRING, benchmark STRING, item_id STRING, system_id STRING, repeat_idx BIGINT, "
-    "request_payload_hash STRING, raw_response STRING, parsed_score DOUBLE, parse_ok BOOLEAN, "
-    "usage STRUCT<in_tokens: BIGINT, out_tokens: BIGINT>, cost_usd DOUBLE, ts STRING"
-)
+_KINDS = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+
+
+def _struct(**kinds: str) -> T.StructType:
+    """A schema of named kinds; each kind lists its fields in order."""
+    order = [(name, _KINDS[kind]) for kind, names in kinds.items() for name in names.split()]
+    return T.StructType([T.StructField(n, k) for n, k in order])
+
+
+#: One judge call and its outcome, by kind of field.
+SCORE_RECORD = _struct(
+    string="run_id env_id judge_model judge_model_version judge_tier serving_engine quantization prompt_id paraphrase_id scale task benchmark item_id system_id request_payload_hash raw_response ts",
+    long="schema_version seed repeat_idx",
+    double="temperature parsed_score cost_usd",
+    boolean="parse_ok",
+).add("usage", _struct(long="in_tokens out_tokens"))
 #: What identifies a call.
 CALL_KEY = ("env_id", "item_id", "system_id", "repeat_idx")
-ITEM = T.StructType.fromDDL("item_id STRING, source STRING, outputs MAP<STRING, STRING>")
-PROMOTION = T.StructType.fromDDL("seed BIGINT, promo_idx BIGINT, name STRING, question_id STRING, base BOOLEAN, transform BOOLEAN, confirm_delta DOUBLE")
-LEDGER = T.StructType.fromDDL("run_id STRING, experiment STRING, config_hash STRING, inputs_digest STRING, pilot BOOLEAN, calls BIGINT, parse_failures BIGINT, in_tokens BIGINT, out_tokens BIGINT, cost_usd DOUBLE, ts STRING")
+ITEM = _struct(string="item_id source").add("outputs", T.MapType(T.StringType(), T.StringType()))
+LEDGER = _struct(string="run_id experiment config_hash inputs_digest ts", boolean="pilot", long="calls parse_failures in_tokens out_tokens", double="cost_usd")
 
 # A scale's lowest and highest score, its width, and the defaults of every resampling operator.
 SCALES = {"likert5": (1.0, 5.0), "likert10": (1.0, 10.0), "score100": (0.0, 100.0)}
