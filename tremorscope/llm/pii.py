@@ -43,6 +43,8 @@ llame al (912)|phone 345-678|phone mañana
 rufen Sie (0171)|phone 555-1234|phone an
 fax (212)|phone 555-0187|phone only
 reach us on 800-555-0199|phone any day
+send it to sam|email at|email place|email dot|email org|email today
+mail eva|email at|email work|email dot|email net|email please
 write to john|email at|email example|email dot|email com|email please
 mail an anna|email at|email beispiel|email dot|email de bitte
 contact jane(at)example.org|email now
@@ -254,7 +256,7 @@ def windows(text: str, taken: list[tuple[int, int, int]]) -> list[list[tuple[int
         words, idle = [], 0
         for w in WORD.finditer(text, max(start, 0)):
             if w.start() > at:
-                idle = 0 if TRIGGER.search(w[0][:LONGEST_WORD]) else idle + 1
+                idle = 0 if TRIGGER.search(w[0][:LONGEST_WORD]) or w[0].lower() in ("at", "dot") else idle + 1
             words.append((w.start(), w.end()))
             if idle >= SIDE or len(words) >= LONGEST_WINDOW:
                 break
