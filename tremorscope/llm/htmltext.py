@@ -44,6 +44,7 @@ LABELLED = (
     '<html><head><title>T</title></head><body><x-><h1>Only a heading</h1><p>And a plain page of text without any container at all.</p><table><tr><td>cell of a table</td><td>another cell</td></tr></table><pre>code is kept</pre></x-><div class="widget popup modal overlay">Sign up for it</div><footer>footer words</footer></body></html>',
     '<html><head><title>T</title></head><body><div role="navigation">Jump to a part</div><div role="banner">Name of site</div><x-><main><section><h2>Part one</h2><p>Some text of part one that goes on.</p></section><section><h3>Part two</h3><p>Some text of part two that goes on.</p><figure><figcaption>What the picture shows</figcaption></figure></section></main></x-><aside><h3>Other stories</h3><ul><li><a href="/x">Story x</a></li><li><a href="/y">Story y</a></li></ul></aside><select><option>English</option><option>German</option></select><div role="contentinfo">Imprint</div></body></html>',
     '<html><body><div id="page"><div class="header">Site</div><div id="wrapper"><x-><div><div><h1>Headline within plain boxes</h1><div><p>Text within boxes of no name at all, as many pages have it.</p><p>A further paragraph of the same text.</p></div><div>Text without a paragraph, right in its box, goes on for long.</div></div></div></x-></div><div class="sidebar">Side words of the site</div></div></body></html>',
+    '<html><body><main><article><x-><h1>An article that holds other things</h1><p>It begins with a paragraph of its own text.</p></x-><aside class="related"><p>Read another story of this site</p></aside><x-><p>The text goes on after the aside for some words.</p></x-><nav class="toc"><ul><li><a href="/1">Part one of it</a></li></ul></nav><x-><p>And on after the list of its parts.</p></x-><div class="ad advert"><p>Buy this now</p></div><x-><p>The last words of the article.</p></x-><form class="form"><p>Leave your address here</p></form><section class="comments"><p>A comment of a reader</p></section><footer class="meta"><p>Shared ten times</p></footer></article></main></body></html>',
     '<html><body><header class="header top"><p>Welcome to our site today</p></header><x-><article><header><h1>Headline inside its article</h1></header><p>Text under it follows here.</p></article></x-><section class="comments replies discussion"><h3>Reader comments</h3><article class="comment"><p>First comment by a reader here</p></article></section><dialog>Please log in</dialog></body></html>',
 )
 
