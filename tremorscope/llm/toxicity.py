@@ -37,7 +37,7 @@ TRAIN_ROWS = 20_000
 LEXICON = 20_000
 #: A token is in the lexicon from this |z| on.
 LEAST_Z = 3.0
-#: The weight of the prior, in tokens.
+#: The weight of the prior, in tokens; a hundredth of the tokens learned from at most.
 PRIOR = 500.0
 #: What every count of the prior has besides its share of PRIOR.
 LEAST_PRIOR = 0.5
@@ -159,9 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", train
         return Model({})
     starts = F.array(F.col("token"), *(F.when(F.length("token") > k, F.concat(F.substring("token", 1, k), F.lit("*"))) for k in PREFIXES))
     counts = words.select(F.explode(starts).alias("token"), "toxic", "n").where("token is not null").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    weight = F.lit(LEAST_PRIOR) + F.lit(PRIOR) * F.col("n") / F.lit(n1 + n0)
+    prior = min(PRIOR, (n1 + n0) / 100)
+    weight = F.lit(LEAST_PRIOR) + F.lit(prior) * F.col("n") / F.lit(n1 + n0)
     a, b = F.col("toxic") + weight, F.col("n") - F.col("toxic") + weight
-    odds = F.log(a / (F.lit(n1 + PRIOR) - a)) - F.log(b / (F.lit(n0 + PRIOR) - b))
+    odds = F.log(a / (F.lit(n1 + prior) - a)) - F.log(b / (F.lit(n0 + prior) - b))
     lexicon = counts.select("token", "toxic", "n", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(LEXICON).collect()
     score = {r["token"].encode(): float(r["odds"]) for r in lexicon}
     whole = [r for r in lexicon if not r["token"].endswith("*")]
