@@ -95,7 +95,7 @@ def top(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors
     score, name = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
     if most >= EXACT:
         q, p = q.astype(np.int64), p.astype(np.int64)
-        score = np.full((len(q), k), np.iinfo(np.int64).min)
+        score = np.full((len(q), k), -(1 << 62))
 
     def bound(a: Node, b: Node) -> float:
         return float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius + 1e-6 * (1 + a.norm * b.norm)

@@ -34,8 +34,9 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 BITS = 64
-#: Fingerprints of a bucket that are compared with each other.
-BUCKET = 2048
+#: Fingerprints of a bucket that are compared with each other; three levels of masks leave 8 open positions at most,
+#: so buckets of ``LEAST_BUCKET`` always suffice.
+BUCKET, LEAST_BUCKET = 2048, 256
 #: Hashes of a text that are counted at a time.
 HASHES = 1 << 16
 
@@ -161,6 +162,8 @@ def _compare(radius: int, bucket: int):  # noqa: ANN202
 
 def links(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` as all pairs within the radius do."""
+    if bucket < LEAST_BUCKET:
+        raise ValueError(f"buckets of {LEAST_BUCKET} at least: smaller ones may never fit")
     # level by level: which positions are still open is one of few bit sets, so their masks fit in a literal
     todo = prints.select("fp", F.lit(-1).cast("long").alias("open"))
     edges, opens = None, [(1 << BITS) - 1]
