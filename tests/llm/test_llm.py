@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tremorscope.llm import covertree, htmltext, multiindex, packing, pieces, pii, quotation, sharding, simhash, toxicity
+from tremorscope.llm import covertree, htmltext, multiindex, nearcopies, packing, pieces, pii, quotation, sharding, simhash, toxicity
 from tremorscope.llm.queries import FOLD, OP2_SQL, piece_vocabulary, queries, word_vocabulary
 
 #: Null, empty, blank, repeated, very long and odd texts, with columns whose names operators use inside.
@@ -207,6 +207,71 @@ def test_near_duplicate_edges(edges):
     assert simhash.near_duplicates(empty(edges)).count() == 0
 
 
+# --- 3, with similarity: near copies
+
+
+def brute_copies(texts):
+    """The smallest id of each row's group, by all pairs."""
+    def grams(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    ids, parent = sorted(texts), {k: k for k in texts}
+    sets = {k: grams(texts[k]) for k in ids}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 4 * max(len(sets[a]), len(sets[b])) <= 5 * min(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                    low, high = sorted((root(a), root(b)))
+                    parent[high] = low
+    return {k: root(k) for k in ids}
+
+
+def test_wide_masks_cover_every_pair():
+    rnd = random.Random(8)
+    for open_ in ((1 << 64) - 1, sum(1 << k for k in rnd.sample(range(64), 40))):
+        covers, places = nearcopies.wide_masks(open_, nearcopies.RADIUS), [k for k in range(64) if open_ >> k & 1]
+        for _ in range(2000):
+            differ = sum(1 << k for k in rnd.sample(places, nearcopies.RADIUS))
+            assert any(not m & differ for m in covers)
+
+
+def test_near_copies_of_documents(spark, docs, texts):
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == brute_copies(texts)
+
+
+def test_near_copies_of_a_dense_group(spark):
+    """Edits of one text that mostly aren't similar to each other are joined by it; other texts stay apart."""
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(900)]
+    base = rnd.choices(vocabulary, k=200)
+    made = {1: " ".join(base)}
+    for k in range(2, 302):
+        own = list(base)
+        for at in rnd.sample(range(10, 190), rnd.randint(1, 4)):
+            own[at] = rnd.choice(vocabulary)
+        made[k] = " ".join(own)
+    made |= {k: " ".join(rnd.choices(vocabulary, k=rnd.randint(3, 200))) for k in range(302, 400)}
+    rows = [*made.items(), *((k + 1000, made[1]) for k in range(500))]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in made} == brute_copies(made) and {got[k + 1000] for k in range(500)} == {1}
+
+
+def test_near_copies_edges(edges):
+    rows = nearcopies.near_copies(edges).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9)]
+    kept = simhash.keep_first(edges, nearcopies.near_copies(edges))
+    assert kept.columns == edges.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "7", "8", "9", "None"]
+    assert nearcopies.near_copies(empty(edges)).count() == 0
+
+
 # --- 5: personal data
 
 
@@ -451,8 +516,8 @@ def test_pipeline(spark, small, docs, texts):
         after = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/stage-{name}")
         if name == "near_duplicates":
             rows = sorted(now.select("doc_id", "text").collect())
-            label = brute_components([brute_print(r.text) for r in rows])
-            assert sorted(r.doc_id for r in after.collect()) == [r.doc_id for k, r in enumerate(rows) if label[k] == k]
+            label = brute_copies({r.doc_id: r.text for r in rows})
+            assert sorted(r.doc_id for r in after.collect()) == [r.doc_id for r in rows if label[r.doc_id] == r.doc_id]
         if name == "personal_data":
             assert after.count() == now.count() and all(not brute_spans(r.text or "") for r in after.select("text").collect())
         now = after

@@ -18,7 +18,7 @@ aren't read. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -106,10 +106,13 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(radius: int, bucket: int):  # noqa: ANN202
-    """Over rows sorted by (table, key): edges (kind 0), or the rows of a bucket that is too large (kind 1)."""
+def _compare(radius: int, bucket: int, paired: Callable[..., list[tuple[int, int]]] = forest):  # noqa: ANN202
+    """Over rows sorted by (table, key): edges (kind 0), or the rows of a bucket that is too large (kind 1).
 
-    def edges(table: np.ndarray, key: np.ndarray, fp: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    ``paired`` gets the fingerprints of a bucket, the radius, and what columns follow the four.
+    """
+
+    def edges(table: np.ndarray, key: np.ndarray, fp: np.ndarray, left: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
         start = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])])
         size = np.diff(np.r_[start, len(key)])
         out = []
@@ -119,19 +122,20 @@ def _compare(radius: int, bucket: int):  # noqa: ANN202
         for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             if n > bucket:
                 out.append(np.stack([np.ones(n, np.int64), fp[a : a + n].view(np.int64), left[a : a + n]]))
-            elif found := forest(fp[a : a + n], radius):
+            elif found := paired(fp[a : a + n], radius, *(x[a : a + n] for x in more)):
                 i, j = (np.array(x) + a for x in zip(*found, strict=True))
                 out.append(np.stack([np.zeros(len(i), np.int64), fp[i].view(np.int64), fp[j].view(np.int64)]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        kept: list[np.ndarray] = []
         large: tuple[int, int] | None = None  # a bucket whose rows go on as they come
         for batch in batches:
             if not len(batch):
                 continue
-            kept = [np.r_[a, c.to_numpy(zero_copy_only=False).astype(np.int64)] for a, c in zip(kept, batch.columns, strict=True)]
-            table, key, fp, left = kept
+            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            kept = [np.r_[a, c] for a, c in zip(kept, new, strict=True)] if kept else new
+            table, key, fp, left = kept[:4]
             if large is not None:
                 n = int(((table == large[0]) & (key == large[1])).sum())  # sorted: they come first
                 if n:
@@ -140,18 +144,18 @@ def _compare(radius: int, bucket: int):  # noqa: ANN202
                     kept = [x[:0] for x in kept]
                     continue
                 large, kept = None, [x[n:] for x in kept]
-                table, key, fp, left = kept
+                table, key, fp, left = kept[:4]
             last = np.flatnonzero((table != table[-1]) | (key != key[-1]))
             cut_ = int(last[-1]) + 1 if len(last) else 0
             if cut_:
-                yield made(edges(table[:cut_], key[:cut_], fp[:cut_].view(np.uint64), left[:cut_]))
+                yield made(edges(table[:cut_], key[:cut_], fp[:cut_].view(np.uint64), left[:cut_], *(x[:cut_] for x in kept[4:])))
             kept = [x[cut_:] for x in kept]
             if len(kept[0]) > bucket:
                 large = (int(kept[0][0]), int(kept[1][0]))
                 yield made([np.stack([np.ones(len(kept[0]), np.int64), kept[2], kept[3]])])
                 kept = [x[:0] for x in kept]
-        if len(kept[0]):
-            yield made(edges(kept[0], kept[1], kept[2].view(np.uint64), kept[3]))
+        if kept and len(kept[0]):
+            yield made(edges(kept[0], kept[1], kept[2].view(np.uint64), *kept[3:]))
 
     def made(out: list[np.ndarray]) -> pa.RecordBatch:
         kind, a, b = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
@@ -219,12 +223,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is their component's smallest; of an id that repeats one.
+def keep_first(docs: DataFrame, groups: DataFrame | None = None, *, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is their component's smallest in ``groups`` (id,
+    ``component_id``; by default those of ``near_duplicates``); of an id that repeats one.
 
     Rows without an id are kept: nothing tells which of them is which.
     """
-    groups = near_duplicates(docs, shingle=shingle, radius=radius, id_col=id_col, text_col=text_col)
+    groups = near_duplicates(docs, id_col=id_col) if groups is None else groups
     named = cut(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times"), F.min("component_id").alias("least")))
     gone = named.where(F.col("least") < F.col(id_col)).select(id_col)
     kept = docs.join(gone, id_col, "left_anti")
