@@ -132,12 +132,15 @@ def candidates(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET)
     """Candidate pairs (a, b) of the distinct fingerprints ``fp``; with a column ``label`` those of the last round."""
     todo, edges, marked = prints.select("fp", F.lit(-1).cast("long").alias("open")), None, "label" in prints.columns
     while True:
-        dealt = todo.mapInArrow(_deal(radius), "table long, key long, fp long, left long")
+        # only (table, fp) is shuffled: the key is their closed bits
+        dealt = todo.mapInArrow(_deal(radius), "table long, key long, fp long, left long").select("table", "fp")
         if edges is not None:
             dealt = dealt.distinct()
         if marked:
-            dealt = dealt.join(prints.select("fp", "label"), "fp").select("table", "key", "fp", "left", "label")
-        sorted_ = dealt.repartition("table", "key").sortWithinPartitions("table", "key")
+            dealt = dealt.join(prints.select("fp", "label"), "fp").select("table", "fp", "label")
+        key = F.expr("fp & ~`table`")
+        placed = dealt.repartition("table", key).sortWithinPartitions("table", key)
+        sorted_ = placed.select("table", key.alias("key"), "fp", F.col("table").alias("left"), *(["label"] if marked else []))
         found = cut(sorted_.mapInArrow(_compare(radius, bucket, _apart if marked else _pairs), "kind int, a long, b long"))
         own = found.where("kind = 0").select("a", "b")
         edges = own if edges is None else edges.unionByName(own)
