@@ -264,6 +264,29 @@ def test_near_copies_of_a_dense_group(spark):
     assert {k: got[k] for k in made} == brute_copies(made) and {got[k + 1000] for k in range(500)} == {1}
 
 
+def test_near_copies_of_edited_blocks(spark):
+    """Copies with a block appended, cut or replaced are found down to a similarity of 0.8."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(20_000)]
+    texts, kinds = {}, {}
+    for kind in ("appended", "cut", "replaced"):
+        for least in (0.81, 0.85, 0.9):
+            for n in (80, 300) * 20:
+                k, base = len(texts), rnd.choices(vocabulary, k=n)
+                gone = round((n - 4) * {"appended": 0, "cut": 1 - least, "replaced": (1 - least) / (1 + least)}[kind])
+                more = round((n - 4) * {"appended": 1 / least - 1, "cut": 0, "replaced": (1 - least) / (1 + least)}[kind])
+                both = [base, base[: n - gone] + rnd.choices(vocabulary, k=more)]
+                if nearcopies.similarity(*(nearcopies.shingles([w.encode() for w in t]) for t in both)) >= 0.8:
+                    kinds[k] = kind, least
+                    texts |= {k: " ".join(both[0]), k + 1: " ".join(both[1])}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert len(kinds) > 300 and all(got[k] == k for k in kinds)
+    for own in set(kinds.values()):
+        found = [got[k + 1] == k for k in kinds if kinds[k] == own]
+        assert sum(found) >= 0.9 * len(found), own
+    assert sum(got[k + 1] == k for k in kinds) >= 0.97 * len(kinds)
+
+
 def test_near_copies_edges(edges):
     rows = nearcopies.near_copies(edges).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9)]

@@ -3,14 +3,16 @@
 Texts of equal words (A-Z as a-z) are one text. Each text of at least ``WORDS`` words gets two fingerprints of 64 bits,
 by the halves of its two-word shingles' XXH3 hashes; pairs that differ by at most ``RADIUS`` bits in either are
 candidates. The open bits are cut into two parts, one of which holds at most half the differences, and each part has
-covering masks of half the radius, so 30 tables find every pair within 7 bits. A bucket that is too large is dealt
-anew by masks of the bits still open.
+covering masks of half the radius, so 62 tables find every pair within 9 bits. Most pairs some bits further apart meet
+in one of so many tables too, so what meets is a candidate up to ``REACH`` bits: a block appended, cut or replaced
+changes as many two-word shingles as five-word ones, and at a similarity of 0.8 about 10 bits. A bucket that is too
+large is dealt anew by masks of the bits still open.
 
 Every candidate is confirmed by the exact Jaccard similarity of the sets of shingles, in three rounds, so that a dense
 group of copies holds together without its pairs being written out. First a bucket of at most ``ALL_PAIRS``
-fingerprints gives all its pairs within the radius, a larger one a spanning forest of them. Then each text that is not
+fingerprints gives all its pairs within the reach, a larger one a spanning forest of them. Then each text that is not
 in the component of its candidates' hub, the text of most links, is held against that hub. Last the large buckets give
-every pair within the radius that the components found so far leave apart. So no candidate link is lost: a pair that
+every pair within the reach that the components found so far leave apart. So no candidate link is lost: a pair that
 is never compared is one within a component.
 
 Texts of fewer than ``WORDS`` words (null and empty ones too) have their whole sequence as their one shingle, so only
@@ -35,7 +37,8 @@ from .simhash import _SET, BITS, HASHES, _compare, components, forest, masks
 WORDS = 5
 SIMILARITY = 0.8
 SHINGLE = 2
-RADIUS = 7
+#: Differing bits up to which the masks find every pair, and up to which pairs that meet in a bucket are candidates.
+RADIUS, REACH = 9, 14
 BUCKET = 2048
 ALL_PAIRS = 64
 #: Texts of one fingerprint whose pairs are all candidates in the first round; of more, each is one with the first.
@@ -107,28 +110,28 @@ def _deal(radius: int):  # noqa: ANN202
     return run
 
 
-def _pairs(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """All pairs of a small bucket within the radius, a spanning forest of them for a larger one."""
+def _pairs(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """All pairs of a small bucket within the reach, a spanning forest of them for a larger one."""
     if len(prints) > ALL_PAIRS:
-        return forest(prints, radius)
-    i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None]) <= radius, 1))
+        return forest(prints, reach)
+    i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None]) <= reach, 1))
     return list(zip(i.tolist(), j.tolist(), strict=True))
 
 
-def _apart(prints: np.ndarray, radius: int, label: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of a large bucket within the radius whose labels differ."""
+def _apart(prints: np.ndarray, reach: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs of a large bucket within the reach whose labels differ."""
     out: list[tuple[int, int]] = []
     if len(prints) > ALL_PAIRS and (label[0] == MIXED or (label != label[0]).any()):
         for first in range(0, len(prints), 256):
             own = label[first : first + 256, None]
-            near = (np.bitwise_count(prints[first : first + 256, None] ^ prints[None]) <= radius) & ((own != label[None]) | (own == MIXED))
+            near = (np.bitwise_count(prints[first : first + 256, None] ^ prints[None]) <= reach) & ((own != label[None]) | (own == MIXED))
             i, j = np.nonzero(near)
             i += first
             out += zip(i[i < j].tolist(), j[i < j].tolist(), strict=True)
     return out
 
 
-def candidates(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def candidates(prints: DataFrame, *, radius: int = RADIUS, reach: int = REACH, bucket: int = BUCKET) -> DataFrame:
     """Candidate pairs (a, b) of the distinct fingerprints ``fp``; with a column ``label`` those of the last round."""
     todo, edges, marked = prints.select("fp", F.lit(-1).cast("long").alias("open")), None, "label" in prints.columns
     while True:
@@ -141,7 +144,7 @@ def candidates(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET)
         key = F.expr("fp & ~`table`")
         placed = dealt.repartition("table", key).sortWithinPartitions("table", key)
         sorted_ = placed.select("table", key.alias("key"), "fp", F.col("table").alias("left"), *(["label"] if marked else []))
-        found = cut(sorted_.mapInArrow(_compare(radius, bucket, _apart if marked else _pairs), "kind int, a long, b long"))
+        found = cut(sorted_.mapInArrow(_compare(reach, bucket, _apart if marked else _pairs), "kind int, a long, b long"))
         own = found.where("kind = 0").select("a", "b")
         edges = own if edges is None else edges.unionByName(own)
         todo = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("open")).distinct()
