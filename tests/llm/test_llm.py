@@ -287,6 +287,14 @@ def test_near_copies_of_edited_blocks(spark):
     assert sum(got[k + 1] == k for k in kinds) >= 0.97 * len(kinds)
 
 
+def test_texts_of_a_large_class_meet_all_neighbours(spark):
+    """Fingerprints 0 and 3 only meet in buckets that hold 1 too, and 0 has more texts than are compared at first."""
+    rows = [*((k, 0, k) for k in range(nearcopies.CLASS + 2)), (20, 3, 20), (21, 1, 21)]
+    told = spark.createDataFrame(rows, "node long, f0 long, label long")
+    got = {(r.a, r.b) for r in nearcopies.pairs_apart(told, "f0").collect()}
+    assert got >= {(k, y) for k in range(nearcopies.CLASS + 2) for y in (20, 21)}
+
+
 def test_near_copies_edges(edges):
     rows = nearcopies.near_copies(edges).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9)]

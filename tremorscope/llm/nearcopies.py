@@ -12,7 +12,8 @@ Every candidate is confirmed by the exact Jaccard similarity of the sets of shin
 group of copies holds together without its pairs being written out. First a bucket of at most ``ALL_PAIRS``
 fingerprints gives all its pairs within the reach, a larger one a spanning forest of them. Then each text that is not
 in the component of its candidates' hub, the text of most links, is held against that hub. Last the large buckets give
-every pair within the reach that the components found so far leave apart. So no candidate link is lost: a pair that
+every pair within the reach that the components found so far leave apart, and small ones those of a fingerprint of more
+than ``CLASS`` texts, of which the first round takes one. So no candidate link is lost: a pair that
 is never compared is one within a component.
 
 Texts of fewer than ``WORDS`` words (null and empty ones too) have their whole sequence as their one shingle, so only
@@ -118,13 +119,16 @@ def _pairs(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return list(zip(i.tolist(), j.tolist(), strict=True))
 
 
-def _apart(prints: np.ndarray, reach: int, label: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of a large bucket within the reach whose labels differ."""
+def _apart(prints: np.ndarray, reach: int, label: np.ndarray, full: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs within the reach whose labels differ; in a small bucket those with a ``full`` class on a side."""
     out: list[tuple[int, int]] = []
-    if len(prints) > ALL_PAIRS and (label[0] == MIXED or (label != label[0]).any()):
+    large = len(prints) > ALL_PAIRS
+    if (large or full.any()) and (label[0] == MIXED or (label != label[0]).any()):
         for first in range(0, len(prints), 256):
             own = label[first : first + 256, None]
             near = (np.bitwise_count(prints[first : first + 256, None] ^ prints[None]) <= reach) & ((own != label[None]) | (own == MIXED))
+            if not large:
+                near &= (full[first : first + 256, None] | full[None]) > 0
             i, j = np.nonzero(near)
             i += first
             out += zip(i[i < j].tolist(), j[i < j].tolist(), strict=True)
@@ -132,7 +136,7 @@ def _apart(prints: np.ndarray, reach: int, label: np.ndarray) -> list[tuple[int,
 
 
 def candidates(prints: DataFrame, *, radius: int = RADIUS, reach: int = REACH, bucket: int = BUCKET) -> DataFrame:
-    """Candidate pairs (a, b) of the distinct fingerprints ``fp``; with a column ``label`` those of the last round."""
+    """Candidate pairs (a, b) of the distinct fingerprints ``fp``; with columns ``label`` and ``full`` those of the last round."""
     todo, edges, marked = prints.select("fp", F.lit(-1).cast("long").alias("open")), None, "label" in prints.columns
     while True:
         # only (table, fp) is shuffled: the key is their closed bits
@@ -140,10 +144,10 @@ def candidates(prints: DataFrame, *, radius: int = RADIUS, reach: int = REACH, b
         if edges is not None:
             dealt = dealt.distinct()
         if marked:
-            dealt = dealt.join(prints.select("fp", "label"), "fp").select("table", "fp", "label")
+            dealt = dealt.join(prints.select("fp", "label", "full"), "fp").select("table", "fp", "label", "full")
         key = F.expr("fp & ~`table`")
         placed = dealt.repartition("table", key).sortWithinPartitions("table", key)
-        sorted_ = placed.select("table", key.alias("key"), "fp", F.col("table").alias("left"), *(["label"] if marked else []))
+        sorted_ = placed.select("table", key.alias("key"), "fp", F.col("table").alias("left"), *(["label", "full"] if marked else []))
         found = cut(sorted_.mapInArrow(_compare(reach, bucket, _apart if marked else _pairs), "kind int, a long, b long"))
         own = found.where("kind = 0").select("a", "b")
         edges = own if edges is None else edges.unionByName(own)
@@ -172,7 +176,7 @@ def pairs_apart(texts: DataFrame, which: str) -> DataFrame:
     """The last round's candidate pairs (a < b): by ``which``, of texts whose ``label`` differs."""
     own = texts.where(F.col(which).isNotNull()).select("node", F.col(which).alias("fp"), "label")
     classes = cut(own.groupBy("fp", "label").agg(F.count("*").alias("n")).groupBy("fp").agg(F.max_by("label", "n").alias("most"), F.count("*").alias("labels"), F.sum("n").alias("n")))
-    prints = classes.select("fp", F.when(F.col("labels") > 1, MIXED).otherwise(F.col("most")).cast("long").alias("label"))
+    prints = classes.select("fp", F.when(F.col("labels") > 1, MIXED).otherwise(F.col("most")).cast("long").alias("label"), (F.col("n") > CLASS).cast("long").alias("full"))
     left, right = (own.select(F.col("fp").alias(k), F.col("node").alias(x), F.col("label").alias(f"l{x}")) for k, x in (("a", "x"), ("b", "y")))
     across = candidates(prints).join(left, "a").join(right, "b").where("lx <> ly")
     # in a class each pair of different labels has a text outside the commonest label
