@@ -477,6 +477,18 @@ def test_approximate_search_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_every_query_of_clusters_and_outliers_finds_its_count(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 64))
+    x = np.concatenate([np.repeat(centres, 98, axis=0) + 0.01 * rng.standard_normal((1960, 64)), rng.standard_normal((40, 64))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in multiindex.nearest(df, "vec_id % 98 = 0 or vec_id >= 1960", k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    asked = [k for k in range(2000) if k % 98 == 0 or k >= 1960]
+    assert sorted(got) == asked and all([rank for rank, _ in sorted(got[k])] == list(range(1, 21)) and len({v for _, v in got[k]}) == 20 for k in asked)
+
+
 def test_approximate_search_edges(spark):
     df = odd_vectors(spark)
     got = multiindex.nearest(df, "vec_id % 20 = 0", k=20).collect()

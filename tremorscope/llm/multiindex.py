@@ -9,7 +9,8 @@ sum to over r (pigeonhole), so joining 8 bitmaps finds every code within r. Thos
 reranked by the inner product of the original vectors in doubles.
 
 The radius is the one that holds ``RECALL`` of the true neighbours within the sample; in more rows neighbours are
-nearer, so it is on the safe side. Every row is indexed. Vectors that are null, zero or hold null or non-finite
+nearer, so it is on the safe side. Queries that hold fewer than k rows of all blocks are searched again within
+``WIDER`` more bits, up to the whole code, until they hold k or all there are. Every row is indexed. Vectors that are null, zero or hold null or non-finite
 components take no part; an id that repeats counts once, with its smallest vector; vectors of another dimension than
 the query's are no candidates, and rows of a dimension the sample lacks are searched whole. Ties go to the smaller
 vec_id. Further columns aren't read. An empty table gives no rows.
@@ -17,12 +18,13 @@ vec_id. Further columns aren't read. An empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .vectors import search, sound
 
 #: Rows that the rotation and the radius are learned from at most.
@@ -32,6 +34,8 @@ PROBES = 400
 #: Share of true neighbours that the radius holds in the sample.
 RECALL = 0.97
 BITS, PARTS = 64, 8
+#: Bits by which the radius grows for queries that hold too few rows.
+WIDER = 8
 #: Queries that are reranked at a time.
 STEP = 128
 
@@ -147,7 +151,20 @@ def nearest(embeddings: DataFrame, queries: str, *, k: int, sample: int = SAMPLE
         by.setdefault(len(row), []).append(np.asarray(row, np.float64))
     codes = {d: learn(np.stack(rows), k) for d, rows in by.items() if len(rows) > 2 * k}
 
-    def within(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return top(query_ids, q, vec_ids, p, codes.get(q.shape[1]), k)
-
-    return search(own, asks, total, asks.count(), within, k=k, score="double")
+    def found(asked: DataFrame, codes: dict[int, Codes]) -> DataFrame:
+        def within(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return top(query_ids, q, vec_ids, p, codes.get(q.shape[1]), k)
+
+        return cut(search(own, asked, total, asked.count(), within, k=k, score="double"))
+
+    best = found(asks, codes)
+    # rows of a dimension without a code were searched whole
+    while narrow := [d for d, c in codes.items() if c.radius < BITS]:
+        held = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+        short = cut(asks.where(F.size("embedding").isin(narrow)).join(held, "vec_id", "left_anti").select("vec_id", "embedding"))
+        if not short.head(1):
+            break
+        codes = {d: replace(c, radius=min(BITS, c.radius + WIDER)) for d, c in codes.items()}
+        again = short.select(F.col("vec_id").alias("query_id")).distinct()
+        best = cut(best.join(again, "query_id", "left_anti").unionByName(found(short, codes)))
+    return best
