@@ -209,6 +209,15 @@ def test_execute_redraws_failures_up_to_the_cap(spark, tmp_path):
     assert planning.execute(spark, plan, str(tmp_path / "r"), judge, "likert5", repeats=3).count() == 16
 
 
+def test_execute_goes_on_until_all_attempts_are_used_up(spark, tmp_path):
+    plan = spark.createDataFrame([("e", "i", "a")], "env_id string, item_id string, system_id string")
+
+    def judge(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series([f"Score: {1 + r % 5}" if r < 11 else "none" for r in frame["repeat_idx"]])
+
+    assert planning.execute(spark, plan, str(tmp_path / "r"), judge, "likert5", repeats=12).count() == 24
+
+
 def test_inputs(spark, tmp_path):
     (tmp_path / "items.jsonl").write_text("\n".join(json.dumps({"item_id": f"i{k}", "source": "s", "outputs": {"a": "x", "b": "y"}}) for k in (2, 1)))
     items = inputs.items(spark, str(tmp_path / "items.jsonl"))

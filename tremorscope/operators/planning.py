@@ -78,16 +78,17 @@ def gates(*, receipt: str | None, config_hash: str, pilot: bool, piloted: bool,
         raise GateError("over the cumulative cap")
 
 
-def execute(spark: SparkSession, plan: DataFrame, records_path: str, complete: Callable[[pd.DataFrame], pd.Series], scale: str, *, repeats: int, factor: int = 2, most_waves: int = 10) -> DataFrame:
+def execute(spark: SparkSession, plan: DataFrame, records_path: str, complete: Callable[[pd.DataFrame], pd.Series], scale: str, *, repeats: int, factor: int = 2, most_waves: int | None = None) -> DataFrame:
     """Runs waves until every cell has its valid scores or its attempts are used up; records are appended as Parquet.
 
     Every wave reads what is stored, so a run that broke off goes on where it stopped.
+    A wave makes at least one attempt for each open cell, so ``repeats * factor + 1`` waves, the default, are enough.
     """
     from ..functions.parsing import parsed_score
 
     empty = spark.createDataFrame([], "env_id string, item_id string, system_id string, repeat_idx long, raw_response string, parsed_score double, parse_ok boolean")
     empty.write.mode("append").parquet(records_path)
-    for _ in range(most_waves):
+    for _ in range(repeats * factor + 1 if most_waves is None else most_waves):
         stored = spark.read.schema(empty.schema).parquet(records_path)
         todo = wave(stored, plan, repeats=repeats, factor=factor)
         if not todo.head(1):
