@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tremorscope.llm import covertree, htmltext, multiindex, nearcopies, packing, pieces, pii, quotation, sharding, simhash, toxicity
+from tremorscope.llm import covering, covertree, htmltext, multiindex, nearcopies, packing, pieces, pii, quotation, sharding, simhash, toxicity
+from tremorscope.llm.common import Scratch
 from tremorscope.llm.queries import FOLD, OP2_SQL, piece_vocabulary, queries, word_vocabulary
 
 #: Null, empty, blank, repeated, very long and odd texts, with columns whose names operators use inside.
@@ -163,7 +164,7 @@ def brute_components(prints, radius=3):
 def test_every_close_pair_meets_in_a_table():
     rnd = random.Random(4)
     for open_ in ((1 << 64) - 1, sum(1 << k for k in rnd.sample(range(64), 30))):
-        covers, places = simhash.masks(open_), [k for k in range(64) if open_ >> k & 1]
+        covers, places = covering.masks(open_, 3), [k for k in range(64) if open_ >> k & 1]
         assert len(covers) == 15
         for _ in range(3000):
             differ = sum(1 << k for k in rnd.sample(places, 3))
@@ -178,32 +179,58 @@ def test_near_duplicate_query(spark, small, texts):
     assert [rows[k].component_id for k in ids] == [ids[j] for j in brute_components(prints)]
 
 
-@pytest.mark.parametrize("bucket", [256, 2048])
-def test_buckets_dealt_anew_lose_no_link(spark, bucket):
+@pytest.fixture
+def scratch(spark):
+    with Scratch(spark) as own:
+        yield own
+
+
+@pytest.mark.parametrize("limit", [40, 1 << 15])
+def test_split_buckets_lose_no_link(spark, scratch, limit):
+    """A dense ball of fingerprints; with a limit of 40 its buckets are split over several levels of tables."""
     rnd = random.Random(5)
     centre = rnd.getrandbits(64)
     prints = sorted({centre} | {centre ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(1, 5))) for _ in range(2600)} | {rnd.getrandbits(64) for _ in range(60)})
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    got = {r.node & ((1 << 64) - 1): r.root for r in simhash.components(simhash.links(df, bucket=bucket)).collect()}
+    edges = simhash.links(df, scratch, limit=limit)
+    assert edges.count() < 15 * len(prints)
+    got = {r.node & ((1 << 64) - 1): r.root for r in covering.components(edges, scratch).collect()}
     label, by_label, by_root = brute_components(prints), {}, {}
     for i, p in enumerate(prints):
         by_label.setdefault(label[i], set()).add(p)
         by_root.setdefault(got.get(p, p), set()).add(p)
     assert sorted(map(sorted, by_label.values())) == sorted(map(sorted, by_root.values()))
-    with pytest.raises(ValueError):
-        simhash.links(df, bucket=2)
 
 
-def test_components_of_a_long_path(spark):
+def test_split_buckets_are_smaller():
+    rnd = np.random.default_rng(3)
+    words = [np.unique(np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, (4000, 2), dtype=np.uint64), axis=1))]
+    tables = covering.Tables(1, covering.masks, 3)
+    sizes = lambda: {(t, int(h)): int(n) for t, _, key in tables.spread(words) for h, n in zip(*np.unique(key, return_counts=True), strict=True)}
+    for _ in range(3):
+        large = [k for k, n in sizes().items() if n > 100]
+        tables.split([(t, h) for t, h in large])
+    assert len(tables.closed) > 15 and max(sizes().values()) <= 100
+
+
+def test_forest_is_minimal():
+    rnd = np.random.default_rng(2)
+    words = [np.uint64(1) << rnd.integers(0, 64, 300, dtype=np.uint64) | np.uint64(1) << rnd.integers(0, 8, 300, dtype=np.uint64) for _ in range(2)]
+    edges, label = covering.forest(words, 5), np.arange(300)
+    near = sum(np.bitwise_count(w[:, None] ^ w[None]).astype(int) for w in words)
+    for i, j in sorted(zip(*np.nonzero(near <= 5), strict=True), key=lambda x: near[x]):
+        label[label == label[j]] = label[i]
+    assert len(edges) == 300 - len(set(label.tolist())) and all(near[i, j] <= 5 for i, j in edges)
+
+
+def test_components_of_a_long_path(spark, scratch):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.root for r in simhash.components(edges).collect()} == {0}
+    assert {r.root for r in covering.components(edges, scratch).collect()} == {0}
 
 
 def test_near_duplicate_edges(edges):
     rows = simhash.near_duplicates(edges).collect()
     assert len(rows) == len(EDGES) and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
-    kept = simhash.keep_first(edges)
-    assert kept.columns == edges.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "7", "8", "9", "None"]
     assert simhash.near_duplicates(empty(edges)).count() == 0
 
 
@@ -237,7 +264,7 @@ def brute_copies(texts):
 def test_wide_masks_cover_every_pair():
     rnd = random.Random(8)
     for open_ in ((1 << 64) - 1, sum(1 << k for k in rnd.sample(range(64), 40))):
-        covers, places = nearcopies.wide_masks(open_, nearcopies.RADIUS), [k for k in range(64) if open_ >> k & 1]
+        covers, places = covering.wide_masks(open_, nearcopies.RADIUS), [k for k in range(64) if open_ >> k & 1]
         for _ in range(2000):
             differ = sum(1 << k for k in rnd.sample(places, nearcopies.RADIUS))
             assert any(not m & differ for m in covers)
@@ -247,21 +274,46 @@ def test_near_copies_of_documents(spark, docs, texts):
     assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == brute_copies(texts)
 
 
-def test_near_copies_of_a_dense_group(spark):
-    """Edits of one text that mostly aren't similar to each other are joined by it; other texts stay apart."""
+def dense_group(size, edits=4, words=200):
+    """Edits of one text, many of which aren't similar to each other, and other texts."""
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(900)]
-    base = rnd.choices(vocabulary, k=200)
+    base = rnd.choices(vocabulary, k=words)
     made = {1: " ".join(base)}
-    for k in range(2, 302):
+    for k in range(2, size + 2):
         own = list(base)
-        for at in rnd.sample(range(10, 190), rnd.randint(1, 4)):
+        for at in rnd.sample(range(10, words - 10), rnd.randint(1, edits)):
             own[at] = rnd.choice(vocabulary)
         made[k] = " ".join(own)
-    made |= {k: " ".join(rnd.choices(vocabulary, k=rnd.randint(3, 200))) for k in range(302, 400)}
+    return made | {k + 10_000: " ".join(rnd.choices(vocabulary, k=rnd.randint(3, words))) for k in range(100)}
+
+
+@pytest.mark.parametrize(("edits", "block", "limit"), [(4, 1024, 1 << 15), (4, 40, 1 << 15), (9, 40, 150)])
+def test_near_copies_of_a_dense_group(spark, edits, block, limit):
+    """In one block, in many blocks with hubs and rest, and with split buckets: the same components as by all pairs."""
+    made = dense_group(300, edits)
     rows = [*made.items(), *((k + 1000, made[1]) for k in range(500))]
-    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {k: got[k] for k in made} == brute_copies(made) and {got[k + 1000] for k in range(500)} == {1}
+    found = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block, limit=limit).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert {k: got[k] for k in made} == brute_copies(made) and {got[k + 1000] for k in range(500)} == {1} and len(found) == len(rows)
+
+
+def test_edges_grow_with_the_group(spark, scratch):
+    """Candidate edges of groups of edits whose texts are mostly no near copies: in proportion to the group."""
+    edges = {}
+    for size in (500, 1000, 2000):
+        texts = dense_group(size, 12, 100)
+        prints = np.unique([nearcopies.signature(t.encode().split()) for t in texts.values() if len(t.split()) >= 5], axis=0)
+        rows = spark.createDataFrame(prints.tolist(), "f0 long, f1 long")
+        edges[size] = covering.connect(rows, ["f0", "f1"], covering.wide_masks, nearcopies.RADIUS, nearcopies.REACH, scratch).count()
+    assert edges[1000] < 2.6 * edges[500] and edges[2000] < 2.6 * edges[1000], edges
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    text, other = " ".join(f"word{k}" for k in range(50)), " ".join(f"else{k}" for k in range(50))
+    docs = spark.createDataFrame([(3, text, "a"), (7, text, "b"), (7, other, "c"), (7, other, "c"), (None, text, "d")], "doc_id long, text string, mark string")
+    kept = nearcopies.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(3, text, "a"), (7, other, "c"), (None, text, "d")], key=str)
 
 
 def test_near_copies_of_edited_blocks(spark):
@@ -287,18 +339,10 @@ def test_near_copies_of_edited_blocks(spark):
     assert sum(got[k + 1] == k for k in kinds) >= 0.97 * len(kinds)
 
 
-def test_texts_of_a_large_class_meet_all_neighbours(spark):
-    """Fingerprints 0 and 3 only meet in buckets that hold 1 too, and 0 has more texts than are compared at first."""
-    rows = [*((k, 0, k) for k in range(nearcopies.CLASS + 2)), (20, 3, 20), (21, 1, 21)]
-    told = spark.createDataFrame(rows, "node long, f0 long, label long")
-    got = {(r.a, r.b) for r in nearcopies.pairs_apart(told, "f0").collect()}
-    assert got >= {(k, y) for k in range(nearcopies.CLASS + 2) for y in (20, 21)}
-
-
 def test_near_copies_edges(edges):
     rows = nearcopies.near_copies(edges).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (7, 7), (8, 8), (9, 9)]
-    kept = simhash.keep_first(edges, nearcopies.near_copies(edges))
+    kept = nearcopies.keep_first(edges)
     assert kept.columns == edges.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "7", "8", "9", "None"]
     assert nearcopies.near_copies(empty(edges)).count() == 0
 

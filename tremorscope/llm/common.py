@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and tables; one is made up only where the session names none (tests)."""
+    """The shared folder for checkpoints and tables: what ``spark.checkpoint.dir`` names.
+
+    A folder is made up only where the session names none and runs in one process; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables that a computation writes to the shared folder to cut its lineage, and deletes once they are spent.
+
+    They outlive any executor. What is returned lazily must not read them: ``cut`` it first.
+    """
+
+    #: Lets Spark delete a write's shuffle files when it has ended: the table takes their place.
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{shared(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        remove(self.spark, self.folder)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again."""
+        self.count += 1
+        path, before = f"{self.folder}/{self.count}", self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before) if before is not None else self.spark.conf.unset(self.CLEAN)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path  # type: ignore[attr-defined]
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``put`` returned and that nothing reads any more."""
+        for t in tables:
+            remove(self.spark, t._scratch)  # type: ignore[attr-defined]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor loses nothing."""
     shared(df.sparkSession)

@@ -1,24 +1,29 @@
 """Near copies: SimHash candidates of a wide radius by covering masks, then exact similarity of five-word shingles.
 
 Texts of equal words (A-Z as a-z) are one text. Each text of at least ``WORDS`` words gets two fingerprints of 64 bits,
-by the halves of its two-word shingles' XXH3 hashes; pairs that differ by at most ``RADIUS`` bits in either are
-candidates. The open bits are cut into two parts, one of which holds at most half the differences, and each part has
-covering masks of half the radius, so 62 tables find every pair within 9 bits. Most pairs some bits further apart meet
-in one of so many tables too, so what meets is a candidate up to ``REACH`` bits: a block appended, cut or replaced
-changes as many two-word shingles as five-word ones, and at a similarity of 0.8 about 10 bits. A bucket that is too
-large is dealt anew by masks of the bits still open.
-
-Every candidate is confirmed by the exact Jaccard similarity of the sets of shingles, in three rounds, so that a dense
-group of copies holds together without its pairs being written out. First a bucket of at most ``ALL_PAIRS``
-fingerprints gives all its pairs within the reach, a larger one a spanning forest of them. Then each text that is not
-in the component of its candidates' hub, the text of most links, is held against that hub. Last the large buckets give
-every pair within the reach that the components found so far leave apart, and small ones those of a fingerprint of more
-than ``CLASS`` texts, of which the first round takes one. So no candidate link is lost: a pair that
-is never compared is one within a component.
+by the halves of its two-word shingles' XXH3 hashes. Covering masks find every pair that differs by at most ``RADIUS``
+bits in either, and most pairs some bits further apart; what meets is a candidate up to ``REACH`` bits of the 128 (a
+block appended, cut or replaced changes as many two-word shingles as five-word ones: at a similarity of 0.8 about 19
+bits, with a deviation of 4; unrelated texts are 64 bits apart, with a deviation of 6).
+
+Candidate pairs aren't written out. Buckets give spanning forests (``covering``), whose components are the candidate
+groups; most texts are in none. The shingle sets of a group are then held against each other in full, by the exact
+Jaccard similarity, in blocks of at most ``BLOCK`` texts or ``BLOCK_BYTES`` of shingles:
+
+1. A group of one block is settled in one task. Of a larger one each block settles itself.
+2. In a larger group, all blocks are held against ``HUBS`` texts of its largest component so far. That joins a group of
+   copies with data that grow as the group does.
+3. What then lies outside the group's largest component is held, block by block, against the whole group.
+
+So no pair within a group is left out, what a task holds is bounded, and what is emitted is one link a text and block.
+The data sent in the third step grow with (texts outside the largest component) x (texts of the group) / ``BLOCK``:
+that is linear where a large group holds together, not where it is many texts alike in their two-word shingles that
+are no near copies.
 
 Texts of fewer than ``WORDS`` words (null and empty ones too) have their whole sequence as their one shingle, so only
-equal ones are linked. Rows without an id take no part. Repeated rows come out as often as they came in; other columns
-aren't read. An empty table gives no rows.
+equal ones are linked. Rows without an id take no part. A row is judged by its id and its text, so two texts of one id
+are two rows. Repeated rows come out as often as they came in; other columns aren't read, whatever their names. Very
+long texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,24 +33,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, utf8
+from .common import Scratch, buffers, cut, utf8
+from .covering import LIMIT, SHARE, components, connect, row_id, wide_masks
 from .pieces import parts
-from .simhash import _SET, BITS, HASHES, _compare, components, forest, masks
+from .simhash import _SET, HASHES
 
 WORDS = 5
 SIMILARITY = 0.8
 SHINGLE = 2
-#: Differing bits up to which the masks find every pair, and up to which pairs that meet in a bucket are candidates.
-RADIUS, REACH = 9, 14
-BUCKET = 2048
-ALL_PAIRS = 64
-#: Texts of one fingerprint whose pairs are all candidates in the first round; of more, each is one with the first.
-CLASS = 8
-#: The label of a fingerprint whose texts lie in several components.
-MIXED = -1
+#: Differing bits of one fingerprint up to which the masks find every pair, and of both up to which they are candidates.
+RADIUS, REACH = 9, 30
+#: Texts of a block, bytes of their shingles, and texts of a large group that all its blocks are held against.
+BLOCK, BLOCK_BYTES, HUBS = 1024, 1 << 25, 16
 
 
 def signature(words: list[bytes]) -> np.ndarray:
@@ -75,175 +77,178 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(2))
         for first, texts in parts(data, offsets):
             words = [t.lower().split() for t in texts]
-            prints = [signature(w).tolist() if len(w) >= WORDS else (None, None) for w in words]
+            full = np.array([len(w) >= WORDS for w in words], bool)
+            prints = np.array([signature(w) if len(w) >= WORDS else (0, 0) for w in words], np.int64).reshape(-1, 2)
             whole = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), whole, *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))], names=["id", "whole", "f0", "f1"])
-
-
-def wide_masks(open_: int, radius: int) -> list[int]:
-    """Masks over the positions set in ``open_``: some mask covers none of any ``radius`` positions."""
-    places = [k for k in range(BITS) if open_ >> k & 1]
-    sides = [sum(1 << p for p in places[k::2]) for k in (0, 1)]
-    return sorted({m for side in sides if side for m in masks(side, radius // 2) if m})
-
-
-def _deal(radius: int):  # noqa: ANN202
-    """Per (fp, open): a row (left, key, fp, left) for each mask of the open positions."""
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, opens = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for o in np.unique(opens).tolist():
-                if o not in known:
-                    left = np.array([(o & (1 << 64) - 1) & ~m for m in wide_masks(o & (1 << 64) - 1, radius)], np.uint64).view(np.int64)
-                    known[o] = (left, ~left)
-                left, closed = known[o]
-                own = fp[opens == o]
-                for k in range(0, len(own), 4096):
-                    some = own[k : k + 4096]
-                    table, again = np.tile(left, len(some)), np.repeat(some, len(left))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table, (some[:, None] & closed).ravel(), again, table)], names=["table", "key", "fp", "left"])
-
-    return run
-
-
-def _pairs(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """All pairs of a small bucket within the reach, a spanning forest of them for a larger one."""
-    if len(prints) > ALL_PAIRS:
-        return forest(prints, reach)
-    i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None]) <= reach, 1))
-    return list(zip(i.tolist(), j.tolist(), strict=True))
-
-
-def _apart(prints: np.ndarray, reach: int, label: np.ndarray, full: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs within the reach whose labels differ; in a small bucket those with a ``full`` class on a side."""
-    out: list[tuple[int, int]] = []
-    large = len(prints) > ALL_PAIRS
-    if (large or full.any()) and (label[0] == MIXED or (label != label[0]).any()):
-        for first in range(0, len(prints), 256):
-            own = label[first : first + 256, None]
-            near = (np.bitwise_count(prints[first : first + 256, None] ^ prints[None]) <= reach) & ((own != label[None]) | (own == MIXED))
-            if not large:
-                near &= (full[first : first + 256, None] | full[None]) > 0
-            i, j = np.nonzero(near)
-            i += first
-            out += zip(i[i < j].tolist(), j[i < j].tolist(), strict=True)
-    return out
-
-
-def candidates(prints: DataFrame, *, radius: int = RADIUS, reach: int = REACH, bucket: int = BUCKET) -> DataFrame:
-    """Candidate pairs (a, b) of the distinct fingerprints ``fp``; with columns ``label`` and ``full`` those of the last round."""
-    todo, edges, marked = prints.select("fp", F.lit(-1).cast("long").alias("open")), None, "label" in prints.columns
-    while True:
-        # only (table, fp) is shuffled: the key is their closed bits
-        dealt = todo.mapInArrow(_deal(radius), "table long, key long, fp long, left long").select("table", "fp")
-        if edges is not None:
-            dealt = dealt.distinct()
-        if marked:
-            dealt = dealt.join(prints.select("fp", "label", "full"), "fp").select("table", "fp", "label", "full")
-        key = F.expr("fp & ~`table`")
-        placed = dealt.repartition("table", key).sortWithinPartitions("table", key)
-        sorted_ = placed.select("table", key.alias("key"), "fp", F.col("table").alias("left"), *(["label", "full"] if marked else []))
-        found = cut(sorted_.mapInArrow(_compare(reach, bucket, _apart if marked else _pairs), "kind int, a long, b long"))
-        own = found.where("kind = 0").select("a", "b")
-        edges = own if edges is None else edges.unionByName(own)
-        todo = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("open")).distinct()
-        if not todo.head(1):
-            return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def text_pairs(texts: DataFrame, which: str) -> DataFrame:
-    """The first round's candidate pairs (a < b) of nodes by the fingerprint ``which``."""
-    own = texts.where(F.col(which).isNotNull()).select("node", F.col(which).alias("fp"))
-    classes = cut(own.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("rep")))
-    ends = cut(own.join(classes, "fp").where(f"n <= {CLASS} or node = rep").select("fp", "node", "n"))
-    across = candidates(classes.select("fp")).join(ends.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    few = ends.where(f"n between 2 and {CLASS}")
-    inside = few.select("fp", F.col("node").alias("x")).join(few.select("fp", F.col("node").alias("y")), "fp").where("x < y")
-    star = own.join(classes.where(f"n > {CLASS}"), "fp").where("node <> rep").select(F.col("rep").alias("x"), F.col("node").alias("y"))
-    return _ordered(across.select("x", "y").unionByName(inside.select("x", "y")).unionByName(star))
-
-
-def pairs_apart(texts: DataFrame, which: str) -> DataFrame:
-    """The last round's candidate pairs (a < b): by ``which``, of texts whose ``label`` differs."""
-    own = texts.where(F.col(which).isNotNull()).select("node", F.col(which).alias("fp"), "label")
-    classes = cut(own.groupBy("fp", "label").agg(F.count("*").alias("n")).groupBy("fp").agg(F.max_by("label", "n").alias("most"), F.count("*").alias("labels"), F.sum("n").alias("n")))
-    prints = classes.select("fp", F.when(F.col("labels") > 1, MIXED).otherwise(F.col("most")).cast("long").alias("label"), (F.col("n") > CLASS).cast("long").alias("full"))
-    left, right = (own.select(F.col("fp").alias(k), F.col("node").alias(x), F.col("label").alias(f"l{x}")) for k, x in (("a", "x"), ("b", "y")))
-    across = candidates(prints).join(left, "a").join(right, "b").where("lx <> ly")
-    # in a class each pair of different labels has a text outside the commonest label
-    mixed = own.join(classes.where(f"labels > 1 and n > {CLASS}").select("fp", "most"), "fp")
-    inside = mixed.where("label <> most").select("fp", F.col("node").alias("x"), F.col("label").alias("lx")).join(mixed.select("fp", F.col("node").alias("y"), F.col("label").alias("ly")), "fp").where("lx <> ly")
-    return _ordered(across.select("x", "y").unionByName(inside.select("x", "y")))
+            ids = row_id([np.ascontiguousarray(prints[:, k]).view(np.uint64) for k in (0, 1)])
+            count = pa.array([len(w) for w in words], pa.int64())
+            own = [pa.array(x, mask=~full) for x in (prints[:, 0], prints[:, 1], ids)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:2]), whole, count, *own], names=["id", "mark", "whole", "words", "f0", "f1", "print"])
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        data, offsets = buffers(batch.column(2))
+        data, offsets = buffers(batch.column(4))
         for first, texts in parts(data, offsets):
-            words = [t.lower().split() for t in texts]
-            true = [xxhash.xxh3_128_digest(b" ".join(w)) == h for w, h in zip(words, batch.column(1).slice(first, len(texts)).to_pylist(), strict=True)]  # an id that repeats has several texts
-            own = pa.array([shingles(w).tobytes() if t else None for w, t in zip(words, true, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), own], names=["node", "grams"])
-
+            grams = pa.array([shingles(t.lower().split()).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:4]), grams], names=["node", "group", "block", "blocks", "grams"])
+
+
+def joined(sets: list[np.ndarray], first: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
+    """Labels, merged over all pairs of a row of ``first`` and any row whose similarity is ``least`` or more.
+
+    Of a pair that an earlier pair has merged nothing is computed. A merged label is the smallest.
+    """
+    size = np.array([len(s) for s in sets])
+    label = label.copy()
+    ids, where = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(where, kind="stable")
+    holders, bounds = of[order], np.r_[0, np.cumsum(np.bincount(where, minlength=len(ids)))]
+    done = np.zeros(len(sets), bool)
+    for i in first.tolist():
+        done[i] = True
+        other = (label != label[i]) & (size >= least * size[i]) & (size * least <= size[i]) & ~done & (size > 0)
+        if not other.any():
+            continue
+        tokens = where[ends[i] - size[i] : ends[i]]
+        if other.sum() < 8:
+            found = [j for j in np.flatnonzero(other).tolist() if similarity(sets[i], sets[j]) >= least]
+        else:
+            shared = np.zeros(len(sets), np.int64)
+            for k in range(0, len(tokens), 4096):
+                some = tokens[k : k + 4096]
+                count = bounds[some + 1] - bounds[some]
+                total = int(count.sum())
+                starts = np.repeat(bounds[some] - (np.cumsum(count) - count), count)
+                shared += np.bincount(holders[starts + np.arange(total)], minlength=len(sets))
+            found = np.flatnonzero(other & (shared >= least * (size + size[i] - shared))).tolist()
+        for old in {int(label[j]) for j in found} - {int(label[i])}:
+            low, high = sorted((int(label[i]), old))
+            label[label == high] = low
+    return label
+
+
+def _settle(least: float):  # noqa: ANN202
+    """Over rows sorted by their block: the labels (a, b) that the block's pairs merge, one row for each label but the smallest.
+
+    Side 0 is held against all rows, side 1 against those of side 0 alone.
+    """
+
+    def settled(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+        before = np.array([r[0] for r in rows], np.int64)
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        after = joined(sets, np.flatnonzero(np.array([r[1] for r in rows]) == 0), before, least)
+        moved = np.unique(np.stack([before, after])[:, before != after], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(moved[0]), pa.array(moved[1])], names=["a", "b"]) if moved.shape[1] else None
 
-def _confirm(least: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, ...] | None = None
+        kept: list[tuple[int, int, bytes]] = []
         for batch in batches:
-            pairs = zip(batch.column(2), batch.column(3), strict=True)
-            keep = pa.array([similarity(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) >= least for pair in pairs], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            for key, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True), strict=True):
+                if key != at:
+                    if len(kept) > 1 and (out := settled(kept)) is not None:
+                        yield out
+                    at, kept = key, []
+                kept.append(row)
+        if len(kept) > 1 and (out := settled(kept)) is not None:
+            yield out
 
     return run
 
 
-def near_copies(docs: DataFrame, *, least: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row with an id: the id and ``component_id``, the smallest id reachable by links of at least ``least``."""
+def _held(rows: DataFrame, least: float) -> DataFrame:
+    """Merges (a, b) of labels, from rows (group, block, other, label, side, grams)."""
+    keys = ["group", "block", "other"]
+    return rows.select(*keys, "label", "side", "grams").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_settle(least), "a long, b long")
+
+
+def settle(sets: DataFrame, scratch: Scratch, *, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, label) of the nodes of ``sets`` (node, group, block, blocks, grams); one label a component."""
+    zero = F.lit(0).cast("long")
+    within = scratch.put(_held(sets.select("group", "block", zero.alias("other"), F.col("node").alias("label"), F.lit(0).alias("side"), "grams"), least))
+    label = sets.select("node", "group", "blocks").join(within.select(F.col("a").alias("node"), F.col("b").alias("to")), "node", "left").select("node", "group", "blocks", F.coalesce("to", "node").alias("label"))
+    large = label.where("blocks > 1")
+    if not large.head(1):
+        return label.select("node", "label")
+    # a group of several blocks: its hubs first, then what they leave apart
+    own = scratch.put(large.select("node", "label").join(sets, "node"))
+    top = own.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    hubs = own.join(top, ["group", "label"]).withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("node"), "node"))).where(F.col("place") <= HUBS)
+    each = hubs.select("group", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), zero.alias("other"), "label", F.lit(0).alias("side"), "grams")
+    rows = own.select("group", "block", zero.alias("other"), "label", F.lit(1).alias("side"), "grams")
+    links = scratch.put(_held(each.unionByName(rows), least))
+    now = _relabelled(own.select("node", "group", "label"), links, scratch)
+    sizes = now.groupBy("group", "label").agg(F.count("*").alias("n"))
+    core = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("core"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sided = now.join(core, "group").join(own.select("node", "block", "blocks", "grams"), "node").withColumn("rest", F.col("label") != F.col("core"))
+    sided = scratch.put(sided.withColumn("others", F.ceil((F.col("all") - F.col("most")) / block).cast("long")).where("others > 0"))
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("others"))
+    rest = sided.where("rest").select("group", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), part.alias("other"), "label", F.lit(0).alias("side"), "grams")
+    every = sided.select("group", "block", F.explode(F.sequence(zero, F.col("others") - 1)).alias("other"), "label", F.lit(1).alias("side"), "grams")
+    links = scratch.put(_held(rest.unionByName(every), least))
+    now = _relabelled(now, links, scratch)
+    return label.where("blocks = 1").select("node", "label").unionByName(now.select("node", "label"))
+
+
+def _relabelled(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    groups = components(links, scratch)
+    return scratch.put(rows.join(groups.withColumnRenamed("node", "label"), "label", "left").select("node", "group", F.coalesce("root", "label").alias("label")))
+
+
+def mark(text_col: str) -> Column:
+    """What tells apart the texts of one id."""
+    return F.xxhash64(F.col(text_col))
+
+
+def near_copies(docs: DataFrame, *, least: float = SIMILARITY, radius: int = RADIUS, reach: int = REACH, block: int = BLOCK, limit: int = LIMIT, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row with an id: the id, ``mark`` of its text, its ``component`` (a text's node) and ``component_id``, the smallest id in that."""
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    rows = cut(own.mapInArrow(_signed, f"id {kind}, whole binary, f0 long, f1 long"))
-    once = cut(rows.groupBy("whole").agg(F.min("id").alias("first"), F.min("f0").alias("f0"), F.min("f1").alias("f1")))
-    texts = cut(once.withColumn("node", F.monotonically_increasing_id()))
-    pairs = cut(text_pairs(texts, "f0").unionByName(text_pairs(texts, "f1")).distinct())
-    # a node of a larger fingerprint class is always in some pair, so later rounds need no further sets
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = texts.join(nodes, "node").select(F.col("first").alias("id"), "node", "whole")
-    sets = cut(own.join(named, "id").select("node", "whole", "text").mapInArrow(_sets, "node long, grams binary").where("grams IS NOT NULL").dropDuplicates(["node"]))
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        full = some.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        return cut(full.select("a", "b", "ga", "gb").mapInArrow(_confirm(least), "a long, b long"))
-
-    def apart(some: DataFrame, groups: DataFrame) -> DataFrame:
-        sided = some.join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return sided.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-    # one link a text first: what these join needs no further links
-    links = confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = links.unionByName(confirmed(apart(pairs, components(links))))
-    groups = components(links)
-    # the hubs
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    wide = components(pairs)
-    hubs = wide.join(ends, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    spokes = _ordered(wide.join(hubs, "root").where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")))
-    links = links.unionByName(confirmed(apart(spokes, groups)))
-    groups = components(links)
-    # what is still apart, in large buckets and classes
-    told = cut(texts.join(groups, "node", "left").select("node", "f0", "f1", F.coalesce("root", "node").alias("label")))
-    more = pairs_apart(told, "f0").unionByName(pairs_apart(told, "f1")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(more))
-    groups = components(links)
-    joined = texts.join(groups, "node").select("whole", "first", "root")
-    smallest = joined.groupBy("root").agg(F.min("first").alias("least"))
-    moved = joined.join(smallest, "root").select("whole", "least")
-    final = cut(texts.join(moved, "whole", "left").select("whole", F.coalesce("least", "first").alias("component_id")))
-    return rows.join(final, "whole").select(F.col("id").alias(id_col), "component_id")
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), mark(text_col).alias("mark"), utf8(text_col).alias("text"))
+    signed = own.mapInArrow(_signed, f"id {kind}, mark long, whole binary, words long, f0 long, f1 long, print long")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.put(signed)
+        once = rows.groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("first"), *(F.first(c).alias(c) for c in ("words", "f0", "f1", "print")))
+        texts = scratch.put(once.withColumn("node", F.monotonically_increasing_id()))
+        # the candidate groups
+        full = texts.where("print IS NOT NULL")
+        prints = scratch.put(full.groupBy("print").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")).select("f0", "f1"))
+        edges = connect(prints, ["f0", "f1"], wide_masks, radius, reach, scratch, limit=limit, share=share, whole=True)
+        roots = components(edges, scratch).withColumnRenamed("node", "print")
+        grouped = scratch.put(full.select("node", "first", "words", "print").join(roots, "print", "left").withColumn("group", F.coalesce("root", "print")).drop("print", "root"))
+        sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1")
+        sizes = sizes.select("group", F.ceil(F.greatest(F.col("n") / block, F.col("words") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
+        members = grouped.drop("words").join(sizes, "group").select("node", "group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks", "first.id", "first.mark")
+        # their shingle sets
+        named = members.join(own, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("node", "group", "block", "blocks", "text")
+        sets = scratch.put(named.mapInArrow(_sets, "node long, group long, block long, blocks long, grams binary"))
+        labels = settle(sets, scratch, least=least, block=block)
+        known = scratch.put(texts.select("node", "whole", "first").join(labels, "node", "left").select("whole", "first", F.coalesce("label", "node").alias("component")))
+        smallest = known.groupBy("component").agg(F.min("first.id").alias("component_id"))
+        final = known.select("whole", "component").join(smallest, "component")
+        return cut(rows.select("id", "mark", "whole").join(final, "whole").select(F.col("id").alias(id_col), "mark", "component", "component_id"))
+
+
+def keep_first(docs: DataFrame, copies: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component of ``copies`` (by default those of ``near_copies``).
+
+    That is the row of the smallest id, and of two texts of one id that of the smaller mark; of rows equal in id and
+    text any one. Rows without an id are kept: nothing tells which of them is which.
+    """
+    copies = near_copies(docs, id_col=id_col, text_col=text_col) if copies is None else copies
+    kept = copies.groupBy("component").agg(F.min(F.struct(F.col(id_col), F.col("mark"))).alias("one")).select(F.col(f"one.{id_col}").alias("_id"), F.col("one.mark").alias("_mark"))
+    times = copies.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_times"))
+    named = cut(kept.join(times, ["_id", "_mark"]))
+    renamed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no column's name clashes
+    at_id, at_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    found = renamed.where(F.col(at_id).isNotNull()).withColumn("_m", mark(at_text)).join(named, (F.col(at_id) == F.col("_id")) & (F.col("_m") == F.col("_mark")))
+    out = found.where("_times = 1").select(renamed.columns)
+    if named.where("_times > 1").head(1):
+        out = out.unionByName(found.where("_times > 1").dropDuplicates(["_id", "_mark"]).select(renamed.columns))
+    return out.unionByName(renamed.where(F.col(at_id).isNull())).toDF(*docs.columns)

@@ -1,15 +1,8 @@
 """Operator 3: near duplicates by SimHash and covering locality-sensitive hashing.
 
-A text's fingerprint has a bit set where over half of its shingles' XXH64 hashes have it. For radius r every bit
-position gets a non-zero vector of r + 1 bits, position after position in turn; every non-zero vector v of r + 1
-bits gives a mask of the positions whose vector has an odd product with v. Whatever r positions two fingerprints
-differ in, some v is orthogonal to their vectors, so its mask covers none of them: all pairs within the radius meet
-in a table, and none is missed. Pairs are confirmed by their true distance.
-
-Equal fingerprints are one candidate. A bucket never emits all its pairs: numpy compares them, and the edges of a
-spanning forest leave the task. A bucket of over ``BUCKET`` fingerprints is dealt anew, by the masks of the positions
-that its own mask left open, so buckets shrink by half their open positions until they are small; the guarantee
-holds at every level.
+A text's fingerprint has a bit set where over half of its shingles' XXH64 hashes have it. For radius 3, 15 masks
+guarantee that all pairs within the radius meet in some table, so none is missed (``covering``). Pairs are confirmed by
+their true distance, equal fingerprints are one candidate, and a bucket emits the edges of a spanning forest.
 
 Null and empty texts have no word: fingerprint zero, linked like any other. Components take the smallest doc_id of
 their rows; null ids count for no component's id. Repeated rows come out as often as they came in. Further columns
@@ -18,7 +11,7 @@ aren't read. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,16 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, utf8
+from .common import Scratch, buffers, cut, utf8
+from .covering import LIMIT, SHARE, components, connect, masks
 from .pieces import parts
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-BITS = 64
-#: Fingerprints of a bucket that are compared with each other; three levels of masks leave 8 open positions at most,
-#: so buckets of ``LEAST_BUCKET`` always suffice.
-BUCKET, LEAST_BUCKET = 2048, 256
 #: Hashes of a text that are counted at a time.
 HASHES = 1 << 16
 
@@ -72,168 +62,19 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_
     return docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, fp long")
 
 
-def masks(open_: int, radius: int = RADIUS) -> list[int]:
-    """The covering masks over the positions set in ``open_``."""
-    places = [k for k in range(BITS) if open_ >> k & 1]
-    size = 1 << (radius + 1)
-    vector = {p: 1 + i % (size - 1) for i, p in enumerate(places)}
-    return [sum(1 << p for p in places if (vector[p] & v).bit_count() % 2) for v in range(1, size)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect the fingerprints as all pairs within the radius do, as positions."""
-    parent = list(range(len(prints)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for first in range(0, len(prints), 256):
-        near = np.bitwise_count(prints[first : first + 256, None] ^ prints[None, first:]) <= radius
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            if i < j:
-                a, b = root(first + i), root(first + j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((first + i, first + j))
-    return out
-
-
-def _compare(radius: int, bucket: int, paired: Callable[..., list[tuple[int, int]]] = forest):  # noqa: ANN202
-    """Over rows sorted by (table, key): edges (kind 0), or the rows of a bucket that is too large (kind 1).
-
-    ``paired`` gets the fingerprints of a bucket, the radius, and what columns follow the four.
-    """
-
-    def edges(table: np.ndarray, key: np.ndarray, fp: np.ndarray, left: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
-        start = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])])
-        size = np.diff(np.r_[start, len(key)])
-        out = []
-        pair = start[size == 2]
-        pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius]
-        out.append(np.stack([np.zeros(len(pair), np.int64), fp[pair].view(np.int64), fp[pair + 1].view(np.int64)]))
-        for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if n > bucket:
-                out.append(np.stack([np.ones(n, np.int64), fp[a : a + n].view(np.int64), left[a : a + n]]))
-            elif found := paired(fp[a : a + n], radius, *(x[a : a + n] for x in more)):
-                i, j = (np.array(x) + a for x in zip(*found, strict=True))
-                out.append(np.stack([np.zeros(len(i), np.int64), fp[i].view(np.int64), fp[j].view(np.int64)]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        large: tuple[int, int] | None = None  # a bucket whose rows go on as they come
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            kept = [np.r_[a, c] for a, c in zip(kept, new, strict=True)] if kept else new
-            table, key, fp, left = kept[:4]
-            if large is not None:
-                n = int(((table == large[0]) & (key == large[1])).sum())  # sorted: they come first
-                if n:
-                    yield made([np.stack([np.ones(n, np.int64), fp[:n], left[:n]])])
-                if n == len(key):
-                    kept = [x[:0] for x in kept]
-                    continue
-                large, kept = None, [x[n:] for x in kept]
-                table, key, fp, left = kept[:4]
-            last = np.flatnonzero((table != table[-1]) | (key != key[-1]))
-            cut_ = int(last[-1]) + 1 if len(last) else 0
-            if cut_:
-                yield made(edges(table[:cut_], key[:cut_], fp[:cut_].view(np.uint64), left[:cut_], *(x[:cut_] for x in kept[4:])))
-            kept = [x[cut_:] for x in kept]
-            if len(kept[0]) > bucket:
-                large = (int(kept[0][0]), int(kept[1][0]))
-                yield made([np.stack([np.ones(len(kept[0]), np.int64), kept[2], kept[3]])])
-                kept = [x[:0] for x in kept]
-        if kept and len(kept[0]):
-            yield made(edges(kept[0], kept[1], kept[2].view(np.uint64), *kept[3:]))
-
-    def made(out: list[np.ndarray]) -> pa.RecordBatch:
-        kind, a, b = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
-
-    return run
-
-
-def links(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, *, radius: int = RADIUS, limit: int = LIMIT, share: int = SHARE) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` as all pairs within the radius do."""
-    if bucket < LEAST_BUCKET:
-        raise ValueError(f"buckets of {LEAST_BUCKET} at least: smaller ones may never fit")
-    # level by level: which positions are still open is one of few bit sets, so their masks fit in a literal
-    todo = prints.select("fp", F.lit(-1).cast("long").alias("open"))
-    edges, opens = None, [(1 << BITS) - 1]
-    while True:
-        whole = [(o, m) for o in opens for m in masks(o, radius)]
-        tables = F.array(*(F.struct(F.lit(k).alias("table"), F.lit(_signed(m)).alias("mask"), F.lit(_signed(o)).alias("was"), F.lit(_signed(o & ~m)).alias("left")) for k, (o, m) in enumerate(whole)))
-        dealt = (
-            todo.select("fp", "open", F.explode(tables).alias("t"))
-            .where("open = t.was")
-            .select(F.col("t.table").alias("table"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp", F.col("t.left").alias("left"))
-            .repartition("table", "key")
-            .sortWithinPartitions("table", "key")
-        )
-        found = cut(dealt.mapInArrow(_compare(radius, bucket), "kind int, a long, b long"))
-        own = found.where("kind = 0").select("a", "b")
-        edges = own if edges is None else edges.unionByName(own)
-        opens = sorted(r[0] & ((1 << BITS) - 1) for r in found.where("kind = 1").select("b").distinct().collect())  # at most one for each mask
-        if not opens:
-            return edges
-        todo = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("open")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); a root is its component's smallest node.
-
-    Alternating large-star and small-star rounds: each joins a node's edges to its smallest neighbour, so no
-    task gathers a component, and rounds are few however long its paths are.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = cut(small)
+    return connect(prints, ["fp"], masks, radius, radius, scratch, limit=limit, share=share)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the smallest id reachable)."""
     rows = cut(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
-    prints = cut(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
-    groups = components(links(prints, radius=radius))
-    joined = prints.join(groups.withColumnRenamed("node", "fp"), "fp")
-    least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    moved = joined.select("fp", "root").join(least, "root").select("fp", "least")
-    named = cut(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.put(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
+        groups = scratch.put(components(links(prints, scratch, radius=radius), scratch))
+        joined = prints.join(groups.withColumnRenamed("node", "fp"), "fp")
+        least = joined.groupBy("root").agg(F.min("first").alias("least"))
+        moved = joined.select("fp", "root").join(least, "root").select("fp", "least")
+        named = cut(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, groups: DataFrame | None = None, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is their component's smallest in ``groups`` (id,
-    ``component_id``; by default those of ``near_duplicates``); of an id that repeats one.
-
-    Rows without an id are kept: nothing tells which of them is which.
-    """
-    groups = near_duplicates(docs, id_col=id_col) if groups is None else groups
-    named = cut(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times"), F.min("component_id").alias("least")))
-    gone = named.where(F.col("least") < F.col(id_col)).select(id_col)
-    kept = docs.join(gone, id_col, "left_anti")
-    twice = named.where((F.col("times") > 1) & (F.col("least") == F.col(id_col))).select(id_col)
-    if twice.head(1):
-        kept = kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
-    return kept.select(docs.columns)
