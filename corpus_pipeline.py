@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorscope.llm import nearcopies, packing, pii, simhash, toxicity
+from tremorscope.llm import nearcopies, packing, pii, toxicity
 from tremorscope.llm.common import shared, table
 from tremorscope.llm.queries import word_vocabulary
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of the smallest doc_id."""
-    return simhash.keep_first(docs, nearcopies.near_copies(docs))
+    return nearcopies.keep_first(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
