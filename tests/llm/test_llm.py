@@ -223,9 +223,11 @@ def test_forest_is_minimal():
     assert len(edges) == 300 - len(set(label.tolist())) and all(near[i, j] <= 5 for i, j in edges)
 
 
-def test_components_of_a_long_path(spark, scratch):
-    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.root for r in covering.components(edges, scratch).collect()} == {0}
+@pytest.mark.parametrize("share", [100, 1 << 20])
+def test_components_of_long_paths(spark, scratch, share):
+    edges = spark.range(300).where("id <> 100").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.node: r.root for r in covering.components(edges, scratch, share=share).collect()} == {k: 0 if k <= 100 else 101 for k in range(301)}
+    assert covering.components(edges.where("false"), scratch, share=share).count() == 0
 
 
 def test_near_duplicate_edges(edges):

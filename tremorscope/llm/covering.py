@@ -36,6 +36,8 @@ ALL = (1 << BITS) - 1
 LIMIT, SHARE, CROWD = 1 << 15, 8192, 8
 #: Rows that are dealt at a time, rows that are counted at a time, and entries of a task that compares.
 DEALT, COUNTED, TASK = 1 << 13, 1 << 16, 1 << 20
+#: Edges that a task contracts.
+EDGES = 1 << 20
 #: Buckets up to this size are compared all at once, offset by offset.
 SMALL = 8
 
@@ -317,7 +319,7 @@ def connect(rows: DataFrame, columns: Sequence[str], make: Callable[[int, int],
         limit = max(limit, CROWD * total >> min(closed.bit_count() for closed in tables.closed))
     while fresh and total > limit:  # with fewer rows no bucket can be too large
         counted = dealt.mapInArrow(_count(tables, frozenset(fresh), share), "t int, h long, n long").groupBy("t", "h").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-        fresh = tables.split([(r.t, r.h) for r in counted.select("t", "h").toLocalIterator()])  # at most tables * share of them
+        fresh = tables.split([(r.t, r.h) for r in counted.select("t", "h").collect()])  # at most tables * share of them
     entries = total * len(tables.roots)
     slots = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks(entries, TASK))
     packed = dealt.mapInArrow(_deal(tables, slots), ", ".join(["slot int, tables binary", *(f"w{k} binary" for k in range(len(columns)))]))
@@ -327,18 +329,39 @@ def connect(rows: DataFrame, columns: Sequence[str], make: Callable[[int, int],
     return scratch.put(edges)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); a root is its component's smallest node.
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars: every node with the smallest node it reaches here."""
+    parent: dict[int, int] = {}
 
-    Alternating large-star and small-star rounds: each joins a node's edges to its smallest neighbour, so no
-    task gathers a component, and rounds are few however long its paths are.
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    found = [(x, r) for x in parent if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, *, share: int = EDGES) -> DataFrame:
+    """(node, root) of every node of the edges (a, b), a table of ``scratch``; a root is its component's smallest node.
+
+    Each share of at most about ``share`` edges is contracted to stars in one task. If there is one share that is all.
+    Otherwise alternating large-star and small-star rounds follow: each joins a node's edges to its smallest neighbour,
+    so no task gathers a component, and rounds are few however long its paths are.
     """
-    now = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    shares = blocks(edges.count(), share)
+    now = scratch.put(edges.select("a", "b").repartition(shares).mapInArrow(_contracted, "a long, b long"))
     before = None
-    while True:
+    while shares > 1:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            break
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -348,3 +371,4 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.put(small)
         scratch.drop(now)
         now = new
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
