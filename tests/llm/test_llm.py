@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -377,6 +378,40 @@ def test_the_field_finds_what_patterns_miss():
     assert pii.added(clean, [[]] * 4, pii.field()) == [[]] * 4
 
 
+HELD_OUT = {
+    "bob(at)corp.example.com": "bob(at)corp.example.com", "dial (646) 555-0142 today": "(646) 555-0142", "ring 020 7946 0321 after six": "020 7946 0321", "ruf 0151 2345 6789 an": "0151 2345 6789",
+    "mail tom at server dot com today": "tom at server dot com", "ask paula at uni dot edu please": "paula at uni dot edu", "kontakt eva[at]firma.de bald": "eva[at]firma.de", "reach ann(at)site.co.uk": "ann(at)site.co.uk",
+    "card 4012.8888.8888.1881 ok": "4012.8888.8888.1881", "Karte 4111/1111/1111/1111 heute": "4111/1111/1111/1111", "fax 212-555-0199 here": "212-555-0199", "phone: 303.555.0144 or": "303.555.0144",
+    "host 172-16-0-9 is up": "172-16-0-9", "server 10[.]20[.]30[.]40 down": "10[.]20[.]30[.]40", "my number: 917-555-0111.": "917-555-0111", "x" * 70 + "(at)example.org": "x" * 70 + "(at)example.org",
+}
+CLEAN = ["the year 1999 was", "chapter 12 of 40", "version 2.4.1 of it", "at 12:45 on 3/4/2020", "costs $1,200.50 now", "isbn 978-3-16-148410-0 book", "pages 120-135 in", "score 21-19 and 3-1", "order 12345 shipped", "follow @news for", "room 101 at the inn"]
+
+
+def added(text):
+    return [text[a:b] for a, _, b in pii.added([text], [pii.base(text)], pii.field())[0]]
+
+
+def test_recall_of_added_spans():
+    """On lines that the labelled table doesn't hold."""
+    found = [added(t) == [x] for t, x in HELD_OUT.items()]
+    assert sum(found) >= 0.9 * len(found) and not any(added(t) for t in CLEAN)
+
+
+def test_windows_lose_nothing(texts, monkeypatch):
+    """Decoding whole texts finds no span with a sign that decoding windows misses."""
+    some = [t or "" for t in [*texts.values()][:150]] + [f"{'some words go here ' * 9}{t}{' and more of them' * 9}" for t in HELD_OUT]
+    near = [added(t) for t in some]
+    monkeypatch.setattr(pii, "windows", lambda text, taken: [[m.span() for m in pii.WORD.finditer(text)]] if text.split() else [])
+    whole = [[x for x in added(t) if pii.TRIGGER.search(f" {x} ")] for t in some]
+    assert sum(a != b for a, b in zip(near, whole, strict=True)) <= 1 and sum(map(len, near)) >= len(HELD_OUT) - 2
+
+
+def test_one_long_line_takes_linear_time():
+    began = time.process_time()
+    assert added("word and some more words of a line and then 12 " + "here is no sign of any kind " * 100_000 + "call (212) 555-0187 now") == ["(212) 555-0187"]
+    assert time.process_time() - began < 20
+
+
 def test_viterbi_is_the_best_path():
     f = pii.field()
     words = "call me at (415) 555-2671".split()
@@ -570,6 +605,23 @@ def test_page_query_keeps_articles(spark, small):
         assert p.text == "\n\n".join(x for x in parts if x)
 
 
+ARTICLE = "This is a long sentence of the main text with many words that goes on for quite some time. " * 5
+
+
+@pytest.mark.parametrize("box", ["<div>%s</div>", "<div><div>%s</div></div>", '<div class="story">%s</div>', '<div id="text">%s</div>', '<div class="entry-body">%s</div>', '<div class="story">%s</div><p>Copyright 2020 Foo</p>', "<article><p>%s</p></article>", "<section>%s</section>", "<main>%s</main>", "<table><tr><td>%s</td></tr></table>", '<div class="q7"><div class="xyz">%s</div></div>', '<div class="main-column"><div class="sidebar"><p>See also other things</p></div><div class="copy"><p>%s</p></div></div>', "<div>%s</div><button>Accept</button>"])
+def test_pages_of_other_layouts(box):
+    """None of these is a labelled page."""
+    page = f'<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>{box % ARTICLE}<footer>Imprint and terms</footer></body></html>'
+    assert htmltext.extract(page) == ARTICLE.strip()
+
+
+@pytest.mark.parametrize("part", ["<div><b>w ", '<script "', '<div class="a', "<p><b><i>x", "<b>", "<!--", "</div>", "<", '<a href="x', "<b></p>"])
+def test_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    htmltext.extract(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30
+
+
 # --- 1: quotations
 
 

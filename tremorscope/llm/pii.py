@@ -2,20 +2,23 @@
 
 Four base patterns with their checks always hold. The field adds spans that they miss (a phone number without
 its plus sign, an address whose @ is written out, a card number with dots): it is trained on the small labelled
-table below and decoded by Viterbi in numpy batches. Its sequences are windows of white-space separated words
-around those that hold a digit or an @ or follow a cue word; elsewhere every word has the label "none". An added
-span never overlaps a base span.
+table below and decoded by Viterbi in numpy batches. Its sequences are the runs of white-space separated words within
+``SIDE`` words of one that holds a digit, an @ or a written-out @ outside the base spans; all other words have the label
+"none", for every labelled span holds such a sign. Runs and words may be of any length. An added span never overlaps a
+base span.
 
-Null and empty texts have no spans. Repeated rows give one row each. Long texts are read whole, in linear time.
-Further columns aren't read; ``redact`` keeps them.
+Null and empty texts have no spans. Repeated rows give one row each. Long texts are read whole, in linear time, one long
+line too. Further columns aren't read; ``redact`` keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,20 @@ contact jane(at)example.org|email now
 contact jane[at]example.com|email soon
 kontakt max(at)beispiel.de|email heute
 envoyez à luc[at]exemple.fr|email merci
+mobil 0171|phone 2345|phone 6789|phone ab morgen
+mobile 0161|phone 496|phone 0123|phone in the evening
+(646)|phone 555-0123|phone
+ask for tim(at)corp.example.com|email tomorrow
+write kim(at)site.co.uk|email now
+ann(at)example.org|email
+lea[at]mail.example.net|email
+joe{at}example.com|email is mine
+schreib an ute[at]post.beispiel.de|email bald
+mail tom|email at|email server|email dot|email com|email
+write to ida|email at|email uni|email dot|email edu|email today
+room at the inn was dot matrix
+the shop at number 7 was shut
+we met at noon (at least) twice
 card 4111.1111.1111.1111|card expires soon
 Karte 5500.0000.0000.0004|card gültig
 tarjeta 4012.8888.8888.1881|card vence
@@ -88,8 +105,11 @@ iPhone 12 and Windows 10
 """
 
 SEPARATED = re.compile(r"[(\[{]at[)\]}]", re.I)
+#: Words that make a number or a name next to them likelier to be personal data: a feature of the field.
 CUES = frozenset("tel tel. tel: phone phone: call fax number nummer téléphone teléfono telefon mobile cell mail email e-mail write contact kontakt card karte tarjeta carte host server address gateway ip".split())
-SIDE = 3
+SIDE = 5
+SIDES, SIGNS = (-2, -1, 1, 2), ("at", "dot")
+RUN = re.compile(r"(?:\.[Aa]+)+")
 
 
 def base(text: str) -> list[tuple[int, int, int]]:
@@ -128,34 +148,40 @@ def luhn(digits: str) -> bool:
 def shape(word: str) -> str:
     """Classes of characters, runs of letters shortened: (415) is (ddd), Hello is Aa."""
     out: list[str] = []
-    for c in word[:40]:
+    for c in word:
         k = "d" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
         if k == "d" or not out or out[-1] != k:
             out.append(k)
     return "".join(out)
 
 
-def features(words: list[str], k: int) -> list[str]:
-    """The features of the k-th of some words: its shape and those around it, cue words, written-out signs."""
-    word = words[k]
+def own_features(word: str) -> list[str]:
+    """What a word is by itself: its shape, digits, marks, written-out signs."""
     bare = word.strip(".,;:!?\"'")
-    own = shape(bare)
-    digits = sum("0" <= c <= "9" for c in bare)
-    out = ["bias", f"shape={own}", f"digits={min(digits, 17)}", f"kind={re.sub('d+', 'd', own)}", f"dots={bare.count('.')}", f"marks={''.join(sorted(set(c for c in own if c not in 'dAa')))}"]
-    for side in (-2, -1, 1, 2):
-        near = words[k + side] if 0 <= k + side < len(words) else ""
-        low = near.lower().strip(".,;:!?\"'")
-        out.append(f"{side}:{re.sub('d+', 'd', shape(near.strip('.,;:!?')))}")
-        if low in CUES or low in ("at", "dot"):
-            out.append(f"{side}:cue={low if low in ('at', 'dot') else 'x'}")
-    low = bare.lower()
-    if low in ("at", "dot") or SEPARATED.search(low):
-        out.append(f"sign={'in' if len(low) > 3 else low}")
+    own, low = shape(bare), bare.lower()
+    kind = re.sub("d+", "d", own)
+    out = ["bias", f"shape={own}", f"digits={min(sum('0' <= c <= '9' for c in bare), 17)}", f"kind={kind}", f"run={RUN.sub('.a', kind)}", f"dots={bare.count('.')}", f"marks={''.join(sorted(set(c for c in own if c not in 'dAa')))}"]
+    if low in SIGNS or SEPARATED.search(low):
+        out.append(f"sign={low if low in SIGNS else 'in'}")
     if low in CUES:
         out.append("cue")
     return out
 
 
+def side_features(word: str, side: int) -> list[str]:
+    """What a word is to the one ``side`` places before it; "" beyond the ends."""
+    low = word.lower().strip(".,;:!?\"'")
+    out = [f"{side}:{re.sub('d+', 'd', shape(word.strip('.,;:!?')))}"]
+    if low in CUES or low in SIGNS:
+        out.append(f"{side}:cue={low if low in SIGNS else 'x'}")
+    return out
+
+
+def features(words: list[str], k: int) -> list[str]:
+    """The features of the k-th of some words: its own and those of the two words on each side."""
+    return own_features(words[k]) + [f for side in SIDES for f in side_features(words[k + side] if 0 <= k + side < len(words) else "", side)]
+
+
 class Field:
     """A linear-chain conditional random field; label 0 is "none"."""
 
@@ -163,6 +189,7 @@ class Field:
         names = sorted({f for words, _ in rows for k in range(len(words)) for f in features(words, k)})
         self.index = {f: k for k, f in enumerate(names)}
         n = len(KINDS) + 1
+        self.known: dict[str, np.ndarray] = {}
         self.emit, self.move = np.zeros((len(names), n)), np.zeros((n, n))
         data = [([[self.index[f] for f in features(words, k)] for k in range(len(words))], np.array(labels)) for words, labels in rows]
         first, second = np.zeros(self.emit.size + n * n), np.zeros(self.emit.size + n * n)
@@ -190,20 +217,39 @@ class Field:
             self.emit += move[: self.emit.size].reshape(self.emit.shape)
             self.move += move[self.emit.size :].reshape(n, n)
 
+    def weigh(self, words: list[str]) -> np.ndarray:
+        """Per word its own weights by label, and those it has for the words around it: (words, 1 + sides, labels)."""
+        out = np.zeros((len(words), 1 + len(SIDES), self.move.shape[0]))
+        for k, word in enumerate(words):
+            if (known := self.known.get(word)) is None:
+                known = np.stack([self.emit[[self.index[f] for f in some if f in self.index]].sum(0) for some in (own_features(word), *(side_features(word, side) for side in SIDES))])
+                if len(self.known) < KNOWN and len(word) <= 40:
+                    self.known[word] = known
+            out[k] = known
+        return out
+
     def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each window; windows of about one length are decoded together."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(windows)
         order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
-        for first in range(0, len(order), 256):
+        n = self.move.shape[0]
+        first = 0
+        while first < len(order):
             group = order[first : first + 256]
-            longest = len(windows[group[-1]])
-            n = self.move.shape[0]
-            score = np.zeros((len(group), longest, n))
+            while len(group) > 1 and len(group) * len(windows[group[-1]]) > CELLS:
+                group = group[: len(group) // 2]
+            first += len(group)
+            ends = np.array([len(windows[k]) for k in group])
+            longest = int(ends[-1])
+            names: dict[str, int] = {"": 0}
+            place = np.zeros((len(group), longest + 4), np.int32)  # two empty words at each end
             for row, k in enumerate(group):
-                for t in range(len(windows[k])):
-                    score[row, t] = self.emit[[self.index[f] for f in features(windows[k], t) if f in self.index]].sum(0)
+                place[row, 2 : 2 + ends[row]] = [names.setdefault(w, len(names)) for w in windows[k]]
+            weight = self.weigh(list(names))
+            score = weight[place[:, 2 : 2 + longest], 0]
+            for j, side in enumerate(SIDES):
+                score += weight[place[:, 2 + side : 2 + side + longest], 1 + j]
             best, back = score[:, 0], np.zeros((len(group), longest, n), np.int8)
-            ends = np.array([len(windows[k]) for k in group])
             for t in range(1, longest):
                 step = best[:, :, None] + self.move[None]
                 back[:, t] = step.argmax(1)
@@ -229,48 +275,54 @@ def field() -> Field:
     return Field(rows)
 
 
-TRIGGER = re.compile(r"[0-9@]|[(\[{][aA][tT][)\]}]| [aA][tT] (?=\S+ [dD][oO][tT] )")
+TRIGGER = re.compile(r"[0-9]+|@|[(\[{][aA][tT][)\]}]| [aA][tT] (?=\S+ [dD][oO][tT] )")
 WORD = re.compile(r"\S+")
-#: Longest word and window the field looks at; a longer one holds no kind of span that it adds.
-LONGEST_WORD, LONGEST_WINDOW = 80, 400
+#: Words of the sequences that are decoded at the same time, padded to one length; a longer sequence is decoded alone.
+CELLS = 1 << 16
+#: Short words whose weights a worker remembers.
+KNOWN = 100_000
+
 
+class Cover:
+    """Which places some spans (start, kind, end) hold."""
 
-def windows(text: str, taken: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end) around those that may be personal data and that no base span holds."""
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts = [a for a, _, _ in spans]
+        self.ends = list(accumulate((b for _, _, b in spans), max))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+
+def windows(text: str, taken: Cover) -> list[list[tuple[int, int]]]:
+    """Runs of words (start, end) within ``SIDE`` words of those that may be personal data and that no base span holds."""
+    marks = [m.end() - 1 if m[0][-1] != " " else m.start() + 1 for m in TRIGGER.finditer(text) if not taken.overlaps(m.start(), m.end())]
+    if not marks:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    starts = [a for a, _ in words]
     out: list[list[tuple[int, int]]] = []
-    done, k = 0, 0
-    for m in TRIGGER.finditer(text):
-        at = m.start()
-        if at < done:
-            continue
-        while k < len(taken) and taken[k][2] <= at:
-            k += 1
-        if k < len(taken) and taken[k][0] <= at:
+    done = 0
+    for at in marks:
+        k = bisect_right(starts, at) - 1
+        first, last = max(k - SIDE, done if out else 0, 0), min(k + SIDE + 1, len(words))
+        if last <= done:
             continue
-        start = at
-        for _ in range(SIDE + 1):
-            start = max(text.rfind(" ", 0, start), text.rfind("\n", 0, start)) if start - done > 0 else start
-            if start < max(done, at - LONGEST_WORD * SIDE):
-                start = max(done, at - LONGEST_WORD * SIDE)
-                break
-        words, idle = [], 0
-        for w in WORD.finditer(text, max(start, 0)):
-            if w.start() > at:
-                idle = 0 if TRIGGER.search(w[0][:LONGEST_WORD]) or w[0].lower() in ("at", "dot") else idle + 1
-            words.append((w.start(), w.end()))
-            if idle >= SIDE or len(words) >= LONGEST_WINDOW:
-                break
-        if words:
-            out.append(words)
-            done = words[-1][1]
+        if out and first == done and k - SIDE <= done:
+            out[-1] += words[done:last]
+        else:
+            out.append(words[first:last])
+        done = last
     return out
 
 
 def added(texts: list[str], found: list[list[tuple[int, int, int]]], own: Field) -> list[list[tuple[int, int, int]]]:
     """The field's spans of each text that overlap no base span."""
-    where = [(k, words) for k, text in enumerate(texts) for words in windows(text, found[k])]
+    covers = [Cover(spans) for spans in found]
+    where = [(k, words) for k, text in enumerate(texts) for words in windows(text, covers[k])]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    labels = own.decode([[texts[k][a:b] if b - a <= LONGEST_WORD else "x" for a, b in words] for k, words in where])
+    labels = own.decode([[texts[k][a:b] for a, b in words] for k, words in where])
     for (k, words), got in zip(where, labels, strict=True):
         t = 0
         while t < len(words):
@@ -279,9 +331,10 @@ def added(texts: list[str], found: list[list[tuple[int, int, int]]], own: Field)
                 end += 1
             if got[t]:
                 a, b = words[t][0], words[end - 1][1]
-                a += len(texts[k][a:b]) - len(texts[k][a:b].lstrip("\"'.,;:!?|"))
-                b -= len(texts[k][a:b]) - len(texts[k][a:b].rstrip("\"'.,;:!?|*#$%&"))
-                if a < b and not any(x < b and a < y for x, _, y in found[k]) and not any(x < b and a < y for x, _, y in out[k][-1:]):
+                span = texts[k][a:b]
+                a += len(span) - len(span.lstrip("\"'.,;:!?|"))
+                b -= len(span) - len(span.rstrip("\"'.,;:!?|*#$%&"))
+                if a < b and not covers[k].overlaps(a, b):
                     out[k].append((a, int(got[t]) - 1, b))
             t = end
     return out
