@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .views import ANNOTATIONS, ANSWERS, LEDGER, RECORDS, RESPONSES, SIGNAL
+from .views import ANNOTATIONS, ANSWERS, LEDGER, LINES, RECORDS, RESPONSES, SIGNAL
 
 SEED, DRAWS, BOOTS = 20260731, 40, 100
 EST = "repeat_idx BETWEEN 1 AND 19"
@@ -74,7 +74,7 @@ gaps AS (SELECT env_id, {extra}system_a, system_b, count(*) AS n_items, avg(d) A
 
 
 GAP_COLUMNS = f"n_items, {r6('oracle_gap_pp')}, {r6('oracle_t')}, {r6('judge_gap_pp')}, {r6('residual_pp')}"
-SYSTEM_MEANS = f"WITH {ANNOTATIONS}, reference AS (SELECT item_id, system_id, avg(value) AS value FROM annotations GROUP BY ALL), means AS (SELECT system_id, avg(value) AS mean FROM reference GROUP BY ALL), pairs AS (SELECT a.system_id AS system_a, b.system_id AS system_b, abs(a.mean - b.mean) AS gap FROM means a JOIN means b ON a.system_id < b.system_id)"
+SYSTEM_MEANS = f"WITH {LINES}, {ANNOTATIONS}, reference AS (SELECT item_id, system_id, avg(value) AS value FROM annotations GROUP BY ALL), means AS (SELECT system_id, avg(value) AS mean FROM reference GROUP BY ALL), pairs AS (SELECT a.system_id AS system_a, b.system_id AS system_b, abs(a.mean - b.mean) AS gap FROM means a JOIN means b ON a.system_id < b.system_id)"
 
 #: P(X <= k) of a fair binomial for n up to 100 by Pascal's triangle in doubles.
 BINOMIAL = """RECURSIVE tri AS (
@@ -217,7 +217,7 @@ FROM signed s JOIN score_records a ON a.env_id = s.env_id AND a.system_id = s.sy
     "budget_verdict": f"""WITH {LEDGER}, s AS (SELECT experiment AS slice, left(experiment, 1) = '1' AS pilot, round(sum(cost_usd), 2) AS projected FROM ledger GROUP BY ALL),
 v AS (SELECT slice, pilot, projected, CASE WHEN pilot THEN 50000.0 ELSE 5000000.0 END AS cap, CASE WHEN projected > CASE WHEN pilot THEN 50000.0 ELSE 5000000.0 END THEN CASE WHEN pilot THEN 'over the pilot cap' ELSE 'over the run cap' END WHEN projected + 100000 > 5000000 THEN 'over the cumulative cap' ELSE 'within caps' END AS reason FROM s)
 SELECT slice, pilot, projected + 0.0 AS projected_usd, CAST(100000 AS DOUBLE) AS spent_usd, CAST(cap AS DOUBLE) AS slice_cap_usd, CASE WHEN reason = 'within caps' THEN 'ok' ELSE 'block' END AS verdict, reason FROM v""",
-    "annotation_facet_mean": f"WITH {ANNOTATIONS} SELECT item_id, system_id, {r6('avg(value)', 'value')} FROM annotations GROUP BY ALL",
+    "annotation_facet_mean": f"WITH {LINES}, {ANNOTATIONS} SELECT item_id, system_id, {r6('avg(value)', 'value')} FROM annotations GROUP BY ALL",
     "closest_pair": f"{SYSTEM_MEANS} SELECT system_a, system_b, {r6('round(gap, 9)', 'gap')} FROM pairs ORDER BY round(gap, 9), system_a, system_b LIMIT 1",
     "tightest_cluster": f"{SYSTEM_MEANS}, w AS (SELECT *, row_number() OVER (ORDER BY mean, system_id) AS r, lead(mean, 2) OVER (ORDER BY mean, system_id) AS top FROM means), b AS (SELECT r AS start, round(top - mean, 9) AS spread FROM w WHERE top IS NOT NULL ORDER BY spread, start LIMIT 1) SELECT system_id, {r6('mean')}, {r6('spread')} FROM w, b WHERE r BETWEEN start AND start + 2",
     "gap_ladder": f"{SYSTEM_MEANS} SELECT system_a, system_b, target, {r6('gap_pp')} FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(gap_pp - target), 9), system_a, system_b) AS r FROM (SELECT system_a, system_b, CAST(target AS DOUBLE) AS target, gap / 4 * 100 AS gap_pp FROM pairs, (VALUES (5), (15), (30)) t(target))) WHERE r = 1",
@@ -255,7 +255,7 @@ fl AS (SELECT env_id, replicate, greatest(regr_intercept(v, 1 / n_repeats), 0) A
 SELECT env_id, {r6('quantile_cont(o, 0.025)', 'ci_lo')}, {r6('quantile_cont(o, 0.975)', 'ci_hi')}, count(o) AS n_effective FROM fl GROUP BY env_id""",
     "label_ci": f"""WITH {SIGNAL}, {GROUPS}, placed AS (SELECT env_id, label, row_number() OVER (PARTITION BY env_id ORDER BY label) - 1 AS place FROM (SELECT DISTINCT env_id, label FROM shared)),
 {boots('label_boot', 'env_id', 'placed')}, weighted AS (SELECT s.*, replicate, times AS w FROM weights x JOIN placed p ON p.env_id = x.g AND p.place = x.place JOIN shared s ON s.env_id = p.env_id AND s.label = p.label), {parts('weighted', 'replicate')}
-SELECT env_id, {', '.join(r6(f'quantile_cont({c}, {q})', f'{c}_{n}') for c in ('omega_sq_main', 'omega_sq_int', 'omega_sq_between') for n, q in (('lo', 0.025), ('hi', 0.975)))} FROM split GROUP BY env_id""",
+SELECT env_id, {', '.join(r6(f'round(quantile_cont({c}, {q}), 10)', f'{c}_{n}') for c in ('omega_sq_main', 'omega_sq_int', 'omega_sq_between') for n, q in (('lo', 0.025), ('hi', 0.975)))} FROM split GROUP BY env_id""",
     "sigma_ci": f"""WITH {RECORDS}, {MOMENTS}, items AS (SELECT env_id, item_id, sum(q - s * s / n) AS ss, sum(n - 1) AS df FROM m WHERE n > 1 GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY env_id ORDER BY item_id) - 1 AS place FROM items),
 {boots('sigma_boot', 'env_id', 'placed')}, reps AS (SELECT env_id, replicate, sqrt(sum(times * ss) / sum(times * df)) AS sigma FROM weights w JOIN placed p ON p.env_id = w.g AND p.place = w.place GROUP BY ALL),
 ci AS (SELECT env_id, quantile_cont(sigma, 0.025) AS lo, quantile_cont(sigma, 0.975) AS hi, count(sigma) AS n_effective FROM reps GROUP BY ALL)

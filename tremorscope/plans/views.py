@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCALE = "likert5"
-LAST = 19  # of the repeats that are kept
+LAST = 19  # a cell's last repeat
 ESTIMATION = list(range(1, LAST + 1))
 
 
@@ -17,25 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of ``lineitem`` with its environment, item, system and repeat.
+
+    The lines of an environment, a part's class and a supplier's class are counted; every twenty of them are the
+    repeats of one item more, so cells stay small and no line is left out, however large the table is.
+    """
+    t = table(spark, sf_dir, "lineitem")
+    by = Window.partitionBy("env_id", "part", "s").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    rows = t.withColumns({"env_id": F.concat(F.lit("e_"), "l_returnflag", "l_linestatus"), "part": F.col("l_partkey") % 25, "s": F.col("l_suppkey") % 4}).withColumn("n", F.row_number().over(by).cast("long") - 1)
+    item = F.format_string("i_%04d", F.col("part") + 25 * F.floor(F.col("n") / (LAST + 1)))
+    return rows.withColumns({"item_id": item, "system_id": F.concat(F.lit("s_"), "s"), "repeat_idx": F.col("n") % (LAST + 1)})
+
+
 def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """env_id, item_id, system_id, repeat_idx, score, paraphrase_id."""
-    t = table(spark, sf_dir, "lineitem")
-    env, item, system = F.concat(F.lit("e_"), "l_returnflag", "l_linestatus"), F.format_string("i_%04d", F.col("l_partkey") % 25), F.concat(F.lit("s_"), F.col("l_suppkey") % 4)
-    by = Window.partitionBy("env_id", "item_id", "system_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = t.withColumn("env_id", env).withColumn("item_id", item).withColumn("system_id", system).withColumn("n", F.row_number().over(by)).where(F.col("n") <= LAST + 1)
     score = (1 + (F.round(F.col("l_discount") * 100).cast("long") + F.col("l_quantity").cast("long")) % 5).cast("double")
-    return rows.select("env_id", "item_id", "system_id", (F.col("n") - 1).cast("long").alias("repeat_idx"), score.alias("score"), F.concat(F.lit("pp_"), (F.col("n") - 1) % 4).alias("paraphrase_id"))
+    return _lines(spark, sf_dir).select("env_id", "item_id", "system_id", "repeat_idx", score.alias("score"), F.concat(F.lit("pp_"), F.col("repeat_idx") % 4).alias("paraphrase_id"))
 
 
-RECORDS = """score_records AS (
-  SELECT env_id, item_id, system_id, repeat_idx, score, 'pp_' || (repeat_idx % 4) AS paraphrase_id
+LINES = """lines AS (
+  SELECT * EXCLUDE (n, part), printf('i_%04d', part + 25 * (n // 20)) AS item_id, n % 20 AS repeat_idx
   FROM (
-    SELECT 'e_' || l_returnflag || l_linestatus AS env_id, 'i_' || lpad(CAST(l_partkey % 25 AS VARCHAR), 4, '0') AS item_id, 's_' || (l_suppkey % 4) AS system_id,
+    SELECT *, 'e_' || l_returnflag || l_linestatus AS env_id, l_partkey % 25 AS part, l_suppkey % 4 AS s,
            row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_partkey % 25, l_suppkey % 4
-             ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS repeat_idx,
-           CAST(1 + (CAST(round(l_discount * 100) AS BIGINT) + CAST(l_quantity AS BIGINT)) % 5 AS DOUBLE) AS score
+             ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS n
     FROM lineitem
-  ) WHERE repeat_idx <= 19
+  )
+)"""
+
+RECORDS = LINES + """, score_records AS (
+  SELECT env_id, item_id, 's_' || s AS system_id, repeat_idx, CAST(1 + (CAST(round(l_discount * 100) AS BIGINT) + CAST(l_quantity AS BIGINT)) % 5 AS DOUBLE) AS score, 'pp_' || (repeat_idx % 4) AS paraphrase_id
+  FROM lines
 )"""
 
 
@@ -86,8 +99,7 @@ RESPONSES = """responses AS (
 
 def annotations(spark: SparkSession, sf_dir: str, signal: bool = True) -> DataFrame:
     """item_id, system_id, facet, value from 1 to 5; with a system's effect if ``signal``."""
-    t = table(spark, sf_dir, "lineitem").select(F.format_string("i_%04d", F.col("l_partkey") % 25).alias("item_id"), (F.col("l_suppkey") % 4).alias("s"), "l_tax", "l_discount", "l_quantity", "l_extendedprice")
-    means = t.groupBy("item_id", "s").agg(
+    means = _lines(spark, sf_dir).groupBy("item_id", "s").agg(
         F.round(1 + 4 * F.avg("l_discount") / 0.1, 9).alias("coherence"), F.round(1 + 4 * F.avg("l_extendedprice") / 100000, 9).alias("consistency"), F.round(1 + 4 * F.avg("l_quantity") / 50, 9).alias("fluency"), F.round(1 + 4 * F.avg("l_tax") / 0.08, 9).alias("relevance")
     )
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in ("coherence", "consistency", "fluency", "relevance"))))
@@ -95,9 +107,9 @@ def annotations(spark: SparkSession, sf_dir: str, signal: bool = True) -> DataFr
 
 
 ANNOTATIONS = """annotated AS (
-  SELECT 'i_' || lpad(CAST(l_partkey % 25 AS VARCHAR), 4, '0') AS item_id, l_suppkey % 4 AS s, round(1 + 4 * avg(l_discount) / 0.1, 9) AS coherence,
+  SELECT item_id, s, round(1 + 4 * avg(l_discount) / 0.1, 9) AS coherence,
          round(1 + 4 * avg(l_extendedprice) / 100000, 9) AS consistency, round(1 + 4 * avg(l_quantity) / 50, 9) AS fluency, round(1 + 4 * avg(l_tax) / 0.08, 9) AS relevance
-  FROM lineitem GROUP BY ALL
+  FROM lines GROUP BY ALL
 ), annotations AS (
   SELECT item_id, 's_' || s AS system_id, facet, value + 0.5 * s AS value FROM (UNPIVOT annotated ON coherence, consistency, fluency, relevance INTO NAME facet VALUE value)
 )"""

@@ -8,26 +8,54 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 2
 
-_KINDS = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
-
-
-def _struct(**kinds: str) -> T.StructType:
-    """A schema of named kinds; each kind lists its fields in order."""
-    order = [(name, _KINDS[kind]) for kind, names in kinds.items() for name in names.split()]
-    return T.StructType([T.StructField(n, k) for n, k in order])
-
-
-#: One judge call and its outcome, by kind of field.
-SCORE_RECORD = _struct(
-    string="run_id env_id judge_model judge_model_version judge_tier serving_engine quantization prompt_id paraphrase_id scale task benchmark item_id system_id request_payload_hash raw_response ts",
-    long="schema_version seed repeat_idx",
-    double="temperature parsed_score cost_usd",
-    boolean="parse_ok",
-).add("usage", _struct(long="in_tokens out_tokens"))
+# A record's fields, in the record's order.
+#: One judge call and its outcome.
+SCORE_RECORD = (
+    T.StructType()
+    .add("schema_version", T.LongType())
+    .add("run_id", T.StringType())
+    .add("env_id", T.StringType())
+    .add("judge_model", T.StringType())
+    .add("judge_model_version", T.StringType())
+    .add("judge_tier", T.StringType())
+    .add("serving_engine", T.StringType())
+    .add("quantization", T.StringType())
+    .add("seed", T.LongType())
+    .add("prompt_id", T.StringType())
+    .add("paraphrase_id", T.StringType())
+    .add("temperature", T.DoubleType())
+    .add("scale", T.StringType())
+    .add("task", T.StringType())
+    .add("benchmark", T.StringType())
+    .add("item_id", T.StringType())
+    .add("system_id", T.StringType())
+    .add("repeat_idx", T.LongType())
+    .add("request_payload_hash", T.StringType())
+    .add("raw_response", T.StringType())
+    .add("parsed_score", T.DoubleType())
+    .add("parse_ok", T.BooleanType())
+    .add("usage", T.StructType().add("in_tokens", T.LongType()).add("out_tokens", T.LongType()))
+    .add("cost_usd", T.DoubleType())
+    .add("ts", T.StringType())
+)
 #: What identifies a call.
 CALL_KEY = ("env_id", "item_id", "system_id", "repeat_idx")
-ITEM = _struct(string="item_id source").add("outputs", T.MapType(T.StringType(), T.StringType()))
-LEDGER = _struct(string="run_id experiment config_hash inputs_digest ts", boolean="pilot", long="calls parse_failures in_tokens out_tokens", double="cost_usd")
+ITEM = T.StructType().add("item_id", T.StringType()).add("source", T.StringType()).add("outputs", T.MapType(T.StringType(), T.StringType()))
+#: One run's entry of the cost ledger.
+LEDGER = (
+    T.StructType()
+    .add("run_id", T.StringType())
+    .add("experiment", T.StringType())
+    .add("pilot", T.BooleanType())
+    .add("calls", T.LongType())
+    .add("parse_failures", T.LongType())
+    .add("in_tokens", T.LongType())
+    .add("out_tokens", T.LongType())
+    .add("cost_usd", T.DoubleType())
+    .add("config_hash", T.StringType())
+    .add("inputs_digest", T.StringType())
+    .add("ts", T.StringType())
+)
 
 # A scale's lowest and highest score, its width, and the defaults of every resampling operator.
 SCALES = {"likert5": (1.0, 5.0), "likert10": (1.0, 10.0), "score100": (0.0, 100.0)}
