@@ -35,7 +35,7 @@ ALL = (1 << BITS) - 1
 #: Rows of a bucket from which it is split, and the part of a chunk that shows it.
 LIMIT, SHARE, CROWD = 1 << 15, 8192, 8
 #: Rows that are dealt at a time, rows that are counted at a time, and entries of a task that compares.
-DEALT, COUNTED, TASK = 1 << 13, 1 << 16, 1 << 20
+DEALT, COUNTED, TASK = 1 << 12, 1 << 16, 1 << 19
 #: Edges that a task contracts.
 EDGES = 1 << 20
 #: Buckets up to this size are compared all at once, offset by offset.
