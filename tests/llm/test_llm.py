@@ -128,6 +128,26 @@ def test_packing_query(spark, small, texts):
             assert (r.piece, r.start, r.length, r.ids_crc32) == (n, n * 4096, len(part), zlib.crc32(part.tobytes()))
 
 
+def test_packing_more_bins_than_a_task_holds(spark):
+    # a task holds a few items of each size, as 100,000 of 4,096 sizes do
+    rnd, capacity = random.Random(5), 64
+
+    def packed(sizes):
+        pieces = spark.createDataFrame([(k, 0, n) for k, n in enumerate(sizes)], "doc_id long, piece int, length long").repartition(8)
+        rows = packing.pack(pieces, capacity=capacity, slack=0, most=300).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
+        return check_packing(rows, capacity)
+
+    # none pairs: as many sequences as pieces, and no round gathers them in one task
+    assert packed([rnd.randint(33, 62) for _ in range(3000)]) == 3000
+    # every piece has partners of one size alone; best fit in a task pairs those it lacks with others (measured: 1.028)
+    halves = [n for _ in range(1500) for n in (lambda x: (x, capacity - x))(rnd.randint(24, 40))]
+    assert packed(halves) <= 1.05 * 1500
+    # small pieces among large ones: near what one task with all of them makes
+    mixed = [rnd.choice((rnd.randint(1, 5), rnd.randint(33, 60))) for _ in range(3000)]
+    assert packed(mixed) <= 1.02 * len(packing.best_fit(np.array(mixed), capacity)[2])
+
+
 def test_packing_edges(edges):
     rows = packing.pack(packing.tokenize(edges, word_vocabulary())).collect()
     check_packing(rows)

@@ -2,9 +2,11 @@
 
 Documents are tokenized, longer ones are cut into pieces of ``capacity`` ids, and the pieces are packed as
 items: every partition packs its own by best fit, largest first, and emits the bins that are nearly full. The
-underfull bins become items of the next round, in which ``FAN_IN`` partitions meet in one, until few are left
-for one last round. A round keeps at most ``ITEMS`` items of a partition at a time; where more are left, the
-next round goes on with what it merged, so no task holds an unbounded list.
+underfull bins become items of the next round, in which ``FAN_IN`` partitions meet in one, down to one task as
+long as it gets no more than ``ITEMS`` items. Before each further round, bins that no other open bin fits into
+are finished: whatever is packed later is at least as large. Where more than ``ITEMS`` bins stay open, they keep
+as many tasks as that takes and are dealt anew each round, until a round joins less than ``GAIN`` of them; so no
+task's work grows with the input. A task packs at most ``ITEMS`` items at a time.
 
 Null texts are empty. An empty text is one piece that holds the end id alone. Repeated rows are packed as
 often as they come; equal ids are told apart by an own item number. Ties go to the fuller bin made first.
@@ -36,8 +38,10 @@ END = 1
 FAN_IN = 8
 #: Items that a task packs at a time.
 ITEMS = 100_000
-#: A bin with at most so many free ids is not opened again before the last round.
+#: A bin with at most so many free ids is not opened again.
 SLACK = 2
+#: Over ``ITEMS`` open bins, rounds go on while each joins at least this share of them.
+GAIN = 0.05
 #: Code points below this are lower-cased and split here, others by the library.
 PLAIN = 0x250
 
@@ -201,7 +205,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, place, np.array(fill, np.int64)
 
 
-def _round(items: DataFrame, capacity: int, step: int, slack: int) -> DataFrame:
+def _round(items: DataFrame, capacity: int, step: int, slack: int, most: int) -> DataFrame:
     """Pack each partition's items (``item``, ``size``): item, its bin, its place there, the bin's size."""
     from pyspark import TaskContext
 
@@ -212,14 +216,14 @@ def _round(items: DataFrame, capacity: int, step: int, slack: int) -> DataFrame:
         def pack(ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
             nonlocal made
             bins, place, fill = best_fit(sizes, capacity)
-            number = (np.int64(step) << 56) + (np.int64(task) << 32) + made + bins
+            number = (np.int64(step) << 54) + (np.int64(task) << 32) + made + bins
             made += len(fill)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(number), pa.array(place), pa.array(fill[bins])], names=["item", "bin", "place", "fill"])
 
         for batch in batches:
             kept_id = np.r_[kept_id, batch.column(0).to_numpy(zero_copy_only=False)]
             kept_size = np.r_[kept_size, batch.column(1).to_numpy(zero_copy_only=False)]
-            if len(kept_id) >= ITEMS:
+            if len(kept_id) >= most:
                 yield pack(kept_id, kept_size)
                 kept_id, kept_size = kept_id[:0], kept_size[:0]
         if len(kept_id):
@@ -228,25 +232,28 @@ def _round(items: DataFrame, capacity: int, step: int, slack: int) -> DataFrame:
     return items.select("item", "size").mapInArrow(run, "item long, bin long, place long, fill long").withColumn("full", F.col("fill") >= capacity - slack)
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, fan_in: int = FAN_IN, slack: int = SLACK, most: int = ITEMS, gain: float = GAIN) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: no two overlap, offsets are gapless from 0."""
     items = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
     width = max(1, items.rdd.getNumPartitions())
-    # every round's items: their bin there; a bin that isn't full is an item of the next round
-    todo = items.select("item", F.col("length").alias("size"))
-    step, placed = 1, None
+    done = cut(_round(items.select("item", F.col("length").alias("size")), capacity, 1, slack, most))
+    placed = done.select(F.col("item").alias("base"), F.col("bin").alias("first"), F.col("place").alias("within"))
+    # where the first round's open bins are by now; the pieces themselves are joined once, at the end
+    moved, before, step = None, None, 1
     while True:
-        last = width == 1
-        done = cut(_round(todo, capacity, step, 0 if last else slack))
-        own = done.select("item", F.col("bin"), F.col("place"))
-        if placed is None:
-            placed = own.withColumnsRenamed({"item": "base"})
-        else:
-            up = own.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("place").alias("more"))
-            placed = placed.join(up, "bin", "left").select("base", F.coalesce("up", "bin").alias("bin"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
         open_ = done.where(~F.col("full")).groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("size"))
-        if last:
-            break
-        width, step = max(1, -(-width // fan_in)), step + 1
-        todo = open_.repartition(width)
-    return items.join(placed.select(F.col("base").alias("item"), F.col("bin").alias("sequence_id"), F.col("place").alias("offset")), "item").drop("item")
+        left, least = open_.agg(F.count("*"), F.min("size")).first()
+        if left < 2 or (width == 1 and left <= most and step > 1):
+            break  # the last task has seen all that is open
+        if left > most and before is not None and left > (1 - gain) * before:
+            break  # dealt anew they hardly pair any more
+        before, width, step = left, max(-(-width // fan_in), -(-left // most)), step + 1
+        done = cut(_round(open_.where(F.col("size") <= capacity - least).repartition(width), capacity, step, slack, most))
+        if moved is None:
+            moved = done.select(F.col("item").alias("first"), "bin", F.col("place").alias("at"))
+        else:
+            up = done.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("place").alias("more"))
+            moved = moved.join(up, "bin", "left").select("first", F.coalesce("up", "bin").alias("bin"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"))
+    if moved is not None:
+        placed = placed.join(moved, "first", "left").select("base", F.coalesce("bin", "first").alias("first"), (F.col("within") + F.coalesce("at", F.lit(0))).alias("within"))
+    return items.join(placed.select(F.col("base").alias("item"), F.col("first").alias("sequence_id"), F.col("within").alias("offset")), "item").drop("item")
