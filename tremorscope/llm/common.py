@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -93,6 +94,15 @@ def buffers(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(column.buffers()[2] or b""), offsets.astype(np.int64)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back this way
+        pass
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of the pieces [start, start + length) one after another."""
     ends = np.cumsum(lengths)

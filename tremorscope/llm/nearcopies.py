@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, buffers, cut, utf8
+from .common import Scratch, buffers, cut, release, utf8
 from .covering import LIMIT, SHARE, components, connect, row_id, wide_masks
 from .pieces import parts
 from .simhash import _SET, HASHES
@@ -87,6 +87,7 @@ def _signed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = pa.array([len(w) for w in words], pa.int64())
             own = [pa.array(x, mask=~full) for x in (prints[:, 0], prints[:, 1], ids)]
             yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:2]), whole, count, *own], names=["id", "mark", "whole", "words", "f0", "f1", "print"])
+    release()
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +96,7 @@ def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, texts in parts(data, offsets):
             grams = pa.array([shingles(t.lower().split()).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:4]), grams], names=["node", "group", "block", "blocks", "grams"])
+    release()
 
 
 def joined(sets: list[np.ndarray], first: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
@@ -159,6 +161,8 @@ def _settle(least: float):  # noqa: ANN202
                 kept.append(row)
         if len(kept) > 1 and (out := settled(kept)) is not None:
             yield out
+        kept = []
+        release()
 
     return run
 

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, cut, ragged, utf8
+from .common import buffers, cut, ragged, release, utf8
 from .merges import MergeTable
-from .pieces import CACHE, parts
+from .pieces import parts
 
 #: Ids a sequence holds at most.
 CAPACITY = 4096
@@ -42,6 +42,8 @@ ITEMS = 100_000
 SLACK = 2
 #: Over ``ITEMS`` open bins, rounds go on while each joins at least this share of them.
 GAIN = 0.05
+#: Words whose ids a worker keeps, and bytes of texts that it encodes at a time.
+CACHE, CHUNK = 150_000, 1 << 20
 #: Code points below this are lower-cased and split here, others by the library.
 PLAIN = 0x250
 
@@ -121,20 +123,20 @@ class WordModel:
         """The ids of UTF-8 texts one after another, and how many each has."""
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.known))
-        lookup, start, length, pool = self.known, self.start, self.length, self.pool
+        known, start, length, pool = self.known, self.start, self.length, self.pool
+        room = len(known) + len(new) <= CACHE
         if new:
             ids, sizes = self.fresh(new)
             ends = np.cumsum(sizes)
-            base = len(length)
+            known.update(zip(new, range(len(length), len(length) + len(new)), strict=True))
             start, length, pool = np.r_[start, len(pool) + ends - sizes], np.r_[length, sizes], np.r_[pool, ids]
-            numbered = zip(new, range(base, len(length)), strict=True)
-            if len(length) <= CACHE:
-                self.known.update(numbered)
+            if room:
                 self.start, self.length, self.pool = start, length, pool
-            else:
-                lookup = {**self.known, **dict(numbered)}
         count = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(lookup.__getitem__, chain.from_iterable(split)), np.int64, count.sum())
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, count.sum())
+        if not room:  # what there is no room for is forgotten
+            for w in new:
+                del known[w]
         sizes = length[flat]
         ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(count)]]
         return pool[ragged(start[flat], sizes)], np.diff(ends)
@@ -159,7 +161,7 @@ def tokenize(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int =
         own = model(path)
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for first, texts in parts(data, offsets):
+            for first, texts in parts(data, offsets, CHUNK):
                 ids, sizes = own.encode(texts)
                 ids = np.insert(ids.astype("<u4"), np.cumsum(sizes), end)
                 sizes = sizes + 1
@@ -175,6 +177,7 @@ def tokenize(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int =
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[begin, len(ids)], pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        release()
 
     return docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
 
