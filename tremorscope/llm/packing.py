@@ -43,7 +43,7 @@ SLACK = 2
 #: Over ``ITEMS`` open bins, rounds go on while each joins at least this share of them.
 GAIN = 0.05
 #: Words whose ids a worker keeps, and bytes of texts that it encodes at a time.
-CACHE, CHUNK = 150_000, 1 << 20
+CACHE, CHUNK = 400_000, 4 << 20
 #: Code points below this are lower-cased and split here, others by the library.
 PLAIN = 0x250
 
