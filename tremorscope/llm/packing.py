@@ -18,7 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,14 @@ CACHE, CHUNK = 400_000, 4 << 20
 PLAIN = 0x250
 
 
+class Numbers(dict):
+    """Numbers keys from 0 on in the order in which they are first asked for."""
+
+    def __missing__(self, key: object) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class WordModel:
     """The tokenizer in ``path``, applied to whole texts by way of their distinct words.
 
@@ -64,7 +72,7 @@ class WordModel:
 
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
-        self.own, self.known = Tokenizer.from_file(path), {}
+        self.own, self.known = Tokenizer.from_file(path), Numbers()
         body, vocab = stored["model"], stored["model"]["vocab"]
         self.suffix = body["end_of_word_suffix"] or ""
         kinds = [x["type"] for x in stored["normalizer"]["normalizers"]]
@@ -81,24 +89,37 @@ class WordModel:
         self.table = MergeTable(*(np.array(x) for x in zip(*((a, b, k, m) for (a, b), (k, m) in rows.items()), strict=True)))
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def words(self, chunk: bytes) -> list[str] | None:
+    def words(self, text: str) -> list[str] | None:
         """The chunk's words, or None where the library must be asked."""
-        text = chunk.decode("utf-8")
-        if text.isascii():
-            if text.isalpha():
-                return [text.lower()]
-            if text[:-1].isalpha():
-                return [text[:-1].lower(), text[-1]]
-            return None if "<|" in text else self.word.findall(text.lower())
-        if max(text) >= chr(PLAIN) or "İ" in text or any(c in text for c in "\x85\xa0") or "<|" in text:
+        if "<|" in text:
+            return None
+        if not text.isascii() and (max(text) >= chr(PLAIN) or "İ" in text or any(c in text for c in "\x85\xa0")):
             return None
         return self.word.findall(text.lower())
 
     def fresh(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks one after another, and how many each has."""
-        split = list(map(self.words, chunks))
-        words = list({w for x in split if x is not None for w in x})
-        raw = [w.encode("utf-8") for w in words]
+        text = b"\n".join(chunks).decode("utf-8")  # no chunk holds a line break
+        number, flat, count, odd = Numbers(), [], [], []
+        for own, low in zip(text.split("\n"), text.lower().split("\n"), strict=True):
+            if own.isascii():
+                if low.isalpha():
+                    flat.append(number[low])
+                    count.append(1)
+                    continue
+                if low[:-1].isalpha():
+                    flat += number[low[:-1]], number[low[-1]]
+                    count.append(2)
+                    continue
+            words = self.words(own)
+            if words is None:
+                odd.append(own)
+                flat.append(-len(odd))
+                count.append(1)
+            else:
+                flat += map(number.__getitem__, words)
+                count.append(len(words))
+        raw = [w.encode("utf-8") for w in number]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         octets = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[octets]
@@ -106,37 +127,32 @@ class WordModel:
         if len(raw):
             symbols[ends - 1] = self.last[octets[ends - 1]]
         ids, lengths, _ = self.table.run(symbols, sizes)
-        odd = [k for k, x in enumerate(split) if x is None]
-        asked = [x.ids for x in self.own.encode_batch([chunks[k].decode("utf-8") for k in odd], add_special_tokens=False)] if odd else []
-        number = {w: k for k, w in enumerate(words)}
-        for n, k in enumerate(odd):
-            split[k] = [len(words) + n]
+        asked = [x.ids for x in self.own.encode_batch(odd, add_special_tokens=False)] if odd else []
         pool = np.r_[ids, np.fromiter(chain.from_iterable(asked), np.int32, sum(map(len, asked)))]
         lengths = np.r_[lengths, np.array([len(x) for x in asked], np.int64)]
         starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter((w if type(w) is int else number[w] for x in split for w in x), np.int64)
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        cuts = np.r_[0, np.cumsum(lengths[flat])][np.r_[0, np.cumsum(count)]]
-        return pool[ragged(starts[flat], lengths[flat])], np.diff(cuts)
+        at = np.array(flat, np.int64)
+        at = np.where(at < 0, len(raw) - 1 - at, at)
+        cuts = np.r_[0, np.cumsum(lengths[at])][np.r_[0, np.cumsum(np.array(count, np.int64))]]
+        return pool[ragged(starts[at], lengths[at])], np.diff(cuts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of UTF-8 texts one after another, and how many each has."""
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
         known, start, length, pool = self.known, self.start, self.length, self.pool
-        room = len(known) + len(new) <= CACHE
-        if new:
+        before = len(known)
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, count.sum())
+        if len(known) > before:
+            new = list(islice(known, before, None))
             ids, sizes = self.fresh(new)
             ends = np.cumsum(sizes)
-            known.update(zip(new, range(len(length), len(length) + len(new)), strict=True))
             start, length, pool = np.r_[start, len(pool) + ends - sizes], np.r_[length, sizes], np.r_[pool, ids]
-            if room:
+            if len(known) <= CACHE:
                 self.start, self.length, self.pool = start, length, pool
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, count.sum())
-        if not room:  # what there is no room for is forgotten
-            for w in new:
-                del known[w]
+            else:  # what there is no room for is forgotten
+                for w in new:
+                    del known[w]
         sizes = length[flat]
         ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(count)]]
         return pool[ragged(start[flat], sizes)], np.diff(ends)
