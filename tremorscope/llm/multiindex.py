@@ -38,6 +38,8 @@ BITS, PARTS = 64, 8
 WIDER = 8
 #: Queries that are reranked at a time.
 STEP = 128
+#: A candidate's own product costs about as much as so many entries of a matrix product.
+SPARSE = 16
 
 _NEAR = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :])
 
@@ -120,13 +122,15 @@ def top(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors
         q, p = q[keep], p[keep]
         if not len(q):
             continue
-        # a fast product decides who may be among the best; the exact one, alike wherever a row stands, ranks
-        rough = np.full((len(own), len(vectors)), -np.inf)
-        rough[q, p] = (own @ vectors.T)[q, p]
-        n = min(k, len(vectors))
-        floor = np.partition(rough, len(vectors) - n, axis=1)[:, len(vectors) - n]
-        floor = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-        q, p = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
+        # few candidates are ranked as they are; of many a fast product first decides who may be among the best
+        if len(q) * SPARSE > len(own) * len(vectors):
+            rough = np.full((len(own), len(vectors)), -np.inf)
+            rough[q, p] = (own @ vectors.T)[q, p]
+            n = min(k, len(vectors))
+            floor = np.partition(rough, len(vectors) - n, axis=1)[:, len(vectors) - n]
+            floor = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
+            q, p = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
+        # the exact product, alike wherever a row stands, ranks
         score = (own[q] * vectors[p]).sum(1)
         order = np.lexsort((vec_ids[p], -score, q))
         q, p, score = q[order], p[order], score[order]
