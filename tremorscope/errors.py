@@ -29,5 +29,9 @@ class CorruptShardError(EngineError, ValueError):
     """A broken line inside a shard."""
 
 
+class AnalysisError(EngineError, ValueError):
+    """An analysis that can't be made as asked."""
+
+
 class GateError(EngineError, RuntimeError):
     """A run that its gates do not let through."""

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import drawn_sum, shuffled
-from ..schema import ALPHAS, NULL_DRAWS, POWER, POWER_MOST, POWER_STEP, SEED, SWEEP
+from ..schema import ALPHAS, CI_LEVEL, NULL_DRAWS, POWER, POWER_MOST, POWER_STEP, RESAMPLES, SEED, SWEEP
 from .cells import cells, supported
 from .fip import halves
-from .resample import half_width, percentile
+from .resample import half_width, multiplicities, percentile
 from .variance import pooled
 
 
@@ -46,6 +46,28 @@ def detectable(drawn: DataFrame, *, alphas: Sequence[float] = ALPHAS) -> DataFra
     return out.withColumn("pool_inflation", factor).withColumn("mdi_null_corrected", F.col("mdi_null") / factor)
 
 
+def intervals(drawn: DataFrame, *, alphas: Sequence[float] = ALPHAS, seed: int = SEED, resamples: int = RESAMPLES, level: float = CI_LEVEL) -> DataFrame:
+    """Per environment, N and alpha: the half-width's interval over systems; none where there is one system alone.
+
+    A resample weighs each system's draws by how often it was picked, so no draw is copied.
+    """
+    keys = ["env_id", "n_repeats"]
+    named = drawn.withColumn("group", F.concat_ws("|", *keys))
+    systems = named.select("group", *keys, "system_id").distinct()
+    placed = systems.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("system_id")) - 1)  # a row for each system
+    weights = multiplicities(placed, "group", "null_boot", seed=seed, resamples=resamples).join(placed, ["group", "place"])
+    rows = weights.join(named.select("group", "system_id", "delta"), ["group", "system_id"])
+
+    def at(q: float) -> Column:
+        return F.percentile("delta", F.lit(q), F.col("times"))
+
+    values = F.array(*(F.struct(F.lit(a).alias("alpha"), ((at(1 - a / 2) - at(a / 2)) / 2).alias("v")) for a in sorted(set(alphas), reverse=True)))
+    each = rows.groupBy(*keys, "replicate").agg(values.alias("r")).select(*keys, F.explode("r").alias("r")).select(*keys, "r.*")
+    tail, count = (1 - level) / 2, placed.groupBy(*keys).agg(F.count("*").alias("n_systems"))
+    out = each.groupBy(*keys, "alpha").agg(percentile("v", tail).alias("ci_lo"), percentile("v", 1 - tail).alias("ci_hi")).join(count, keys)
+    return out.select(*keys, "alpha", *(F.when(F.col("n_systems") > 1, F.col(c)).alias(c) for c in ("ci_lo", "ci_hi")))
+
+
 def at_power(drawn: DataFrame, entries: DataFrame, *, power: float = POWER, step: float = POWER_STEP, most: float = POWER_MOST) -> DataFrame:
     """``entries`` with the smallest gain, on a grid of steps, that is detected with the power; null beyond the grid.
 

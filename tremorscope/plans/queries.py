@@ -353,6 +353,11 @@ def null_mdi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(null.in_sigma(_entries(spark, sf_dir), views.score_records(spark, sf_dir), ESTIMATION).drop("scale"))
 
 
+@query
+def null_mdi_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(null.intervals(_null_draws(spark, sf_dir), alphas=(0.10, 0.05), resamples=BOOTS))
+
+
 def _powered(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = _null_draws(spark, sf_dir)
     return null.at_power(drawn, null.detectable(drawn, alphas=(0.10, 0.05)).withColumn("scale", F.lit(SCALE)))

@@ -263,6 +263,11 @@ SELECT env_id, {r6('sqrt(sum(ss) / sum(df))', 'sigma')}, {r6('any_value(lo)', 'c
     "fip_curve": f"{FIP} SELECT env_id, n_repeats, bin, {r6('lo')}, {r6('hi')}, {r6('sigma')}, {r6('mean_delta')}, n_draws, n_reversals, {r6('fip')} FROM bins",
     "fip_conversion": f"{FIP} SELECT env_id, n_repeats, bin, printf('With N=%d, an observed gain of %.4f reverses in %.1f%% of re-measurements.', n_repeats, round(mean_delta, 4), round(fip * 100, 1)) AS statement FROM bins WHERE n_draws > 0",
     "null_mdi": f"{NULL}, {SIGMA_EST.format('score_records')} SELECT env_id, n_repeats, alpha, {r6('mdi_null')}, {r6('abs_delta_quantile')}, n_draws, n_systems, {r6('pool_term')}, {r6('pool_inflation')}, {r6('mdi_null / pool_inflation', 'mdi_null_corrected')}, {r6('sigma')}, {r6('mdi_null / nullif(sigma, 0)', 'mdi_null_in_sigma')} FROM entries JOIN sig USING (env_id)",
+    "null_mdi_ci": f"""{NULL}, placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY system_id) - 1 AS place FROM (SELECT DISTINCT env_id || '|' || n_repeats AS grp, env_id, n_repeats, system_id FROM nd)),
+{boots('null_boot', 'grp', 'placed')}, copies AS (SELECT p.env_id, p.n_repeats, replicate, system_id, unnest(range(times)) AS c FROM weights w JOIN placed p ON p.grp = w.g AND p.place = w.place),
+reps AS (SELECT env_id, n_repeats, alpha, replicate, (quantile_cont(delta, 0.95) - quantile_cont(delta, 0.05)) / 2 AS v10, (quantile_cont(delta, 0.975) - quantile_cont(delta, 0.025)) / 2 AS v05 FROM copies JOIN nd USING (env_id, n_repeats, system_id), (VALUES (0.10), (0.05)) a(alpha) GROUP BY ALL),
+chosen AS (SELECT env_id, n_repeats, CAST(alpha AS DOUBLE) AS alpha, CASE WHEN alpha = 0.10 THEN v10 ELSE v05 END AS v FROM reps)
+SELECT env_id, n_repeats, alpha, {r6('quantile_cont(v, 0.025)', 'ci_lo')}, {r6('quantile_cont(v, 0.975)', 'ci_hi')} FROM chosen GROUP BY ALL""",
     "mdi_power": f"{NULL}{POWERED} SELECT env_id, n_repeats, alpha, {r6('mdi_null')}, {r6('mdi_power')} FROM powered",
     "mdi_isotonic": f"{NULL}{POWERED}, {smooth('powered', 'mdi_null')}, {smooth('powered', 'mdi_power')} SELECT p.env_id, p.n_repeats, p.alpha, {r6('a.fitted', 'mdi_null_smoothed')}, {r6('b.fitted', 'mdi_power_smoothed')} FROM powered p LEFT JOIN sm_mdi_null a USING (env_id, alpha, n_repeats) LEFT JOIN sm_mdi_power b USING (env_id, alpha, n_repeats)",
     "mdi_fip_crossing": f"{FIP}{CROSSED} SELECT env_id, n_repeats, alpha, {r6('mdi_fip')}, mdi_fip IS NOT NULL AS attained, below_measured_range, {r6('mdi_fip / nullif(sigma, 0)', 'mdi_in_sigma')} FROM crossing",
