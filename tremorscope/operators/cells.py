@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateScoreError, OverlappingRepeatsError, SchemaMixError, UnknownEnvironmentError
@@ -64,6 +64,36 @@ def repeats_of(text: str) -> list[int]:
     return sorted(out)
 
 
+def numbers_of(text: str) -> list[float]:
+    """Numbers from text like "0.10,0.05"; there must be one."""
+    out = [float(part) for part in text.split(",") if part.strip()]
+    if not out:
+        raise ValueError(f"no number in {text!r}")
+    return out
+
+
+def distinct_values(records: DataFrame, column: str) -> DataFrame:
+    """The column's values in order: environments, runs, systems or repeats."""
+    return records.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def items_of(records: DataFrame) -> DataFrame:
+    """The items of every environment's systems."""
+    return records.select("env_id", "system_id", "item_id").distinct()
+
+
+def published(rows: DataFrame, experiments: Iterable[str]) -> DataFrame:
+    """The rows whose experiment is listed for publication."""
+    return rows.where(F.col("experiment").isin(list(experiments)))
+
+
+def mixed_order(value: Column) -> list[Column]:
+    """Sort keys of a JSON scalar in text: nothing first, then truth values, numbers by value, and text."""
+    number = value.try_cast("double")
+    kind = F.when(value.isNull() | (value == "null"), 0).when(value.isin("true", "false"), 1).when(number.isNotNull(), 2).otherwise(3)
+    return [kind, F.when(kind == 1, (value == "true").cast("double")).when(kind == 2, number), F.when(kind == 3, value)]
+
+
 def conflicts(records: DataFrame) -> DataFrame:
     """Call keys with more than one score."""
     return records.groupBy(*CALL_KEY).agg(F.count_distinct("score").alias("n_scores"), F.count("*").alias("n_records")).where("n_scores > 1")

@@ -37,6 +37,13 @@ def write_snapshots(texts: DataFrame, path: str) -> None:
     new.join(spark.read.schema(new.schema).parquet(path).select("digest"), "digest", "left_anti").write.mode("append").parquet(path)
 
 
+def read_snapshot(spark: SparkSession, path: str, wanted: str) -> str:
+    """The text of a digest."""
+    if not (found := spark.read.parquet(path).where(F.col("digest") == wanted).select("text").head(1)):
+        raise KeyError(f"no snapshot {wanted}")
+    return found[0][0]
+
+
 def annotations(payload: DataFrame) -> DataFrame:
     """item_id, system_id, facet, value of a payload whose rows hold a list of values for each facet."""
     row = F.explode("rows").alias("r")
@@ -49,17 +56,22 @@ def annotations(payload: DataFrame) -> DataFrame:
 
 
 def instructions(answers: DataFrame, systems: Sequence[str], most: int) -> DataFrame:
-    """Items from answers (system_id, instruction, output): content identifiers, outputs cut to ``most`` characters.
+    """Items from answers (system_id, instruction, output): content identifiers, texts cut to ``most`` characters.
 
-    An instruction that a system lacks or answers twice fails.
+    An instruction that a system lacks or answers twice fails, and so do two instructions of one identifier.
     """
+    if most < 1 or not systems:
+        raise ValueError("at least one character and one system are needed")
     own = answers.where(F.col("system_id").isin(list(systems)))
     if own.groupBy("system_id", "instruction").count().where("count > 1").head(1):
         raise ValueError("an instruction is answered twice")
     out = own.groupBy("instruction").agg(F.map_from_entries(F.collect_list(F.struct("system_id", F.left("output", F.lit(most))))).alias("outputs"))
     if out.where(F.size("outputs") != len(systems)).head(1):
         raise ValueError("systems answered different instructions")
-    return out.select(F.concat(F.lit("ae2_"), F.left(F.sha2("instruction", 256), F.lit(12))).alias("item_id"), F.col("instruction").alias("source"), "outputs")
+    out = out.select(F.concat(F.lit("ae2_"), F.left(F.sha2("instruction", 256), F.lit(12))).alias("item_id"), F.left("instruction", F.lit(most)).alias("source"), "outputs")
+    if out.groupBy("item_id").count().where("count > 1").head(1):
+        raise ValueError("two instructions have one identifier")
+    return out
 
 
 def promotions(reports: DataFrame) -> DataFrame:
@@ -79,6 +91,13 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", LEDGER).alias("r")).select("r.*")
 
 
+def append_ledger(entries: DataFrame, path: str) -> None:
+    """Appends entries to the ledger as JSON lines; every entry has a cost."""
+    if "cost_usd" not in entries.columns or entries.where("cost_usd is null").head(1):
+        raise ValueError("an entry lacks its cost")
+    entries.select(F.to_json(F.struct(*sorted(entries.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """A small result as canonical JSON: sorted keys, two blanks, ASCII."""
     Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in rows.collect()], sort_keys=True, indent=2, ensure_ascii=True) + "\n", newline="\n")

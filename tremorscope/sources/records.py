@@ -46,6 +46,23 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame | None:
     return side if side.head(1) else None
 
 
+def shard_path(folder: str, experiment: str, env_id: str) -> str:
+    """Where the shard of an environment lies."""
+    return f"{folder}/{experiment}/{env_id}.jsonl"
+
+
+def set_aside(broken: DataFrame, folder: str) -> None:
+    """Keeps broken lines (file, raw_line) beside the shards of a folder, each line once; later reads pass over them."""
+    spark, side = broken.sparkSession, f"{folder}/broken.quarantine.jsonl"
+    new = broken.select("raw_line").distinct()
+    known = quarantined(spark, folder)
+    new = new.join(known, "raw_line", "left_anti") if known is not None else new
+    lines_ = [r[0] for r in new.select(F.to_json(F.struct("raw_line"))).collect()]  # at most one for each shard
+    if lines_:
+        with open(side, "a", encoding="utf-8", newline="\n") as f:
+            f.writelines(x + "\n" for x in lines_)
+
+
 def append(records: DataFrame, path: str) -> None:
     """Appends records, by environment; Spark's commit keeps a broken write out."""
     records.write.mode("append").partitionBy("env_id").parquet(path)
