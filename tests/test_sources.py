@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 from tremorscope import __main__ as line
-from tremorscope.functions import display
+from tremorscope.functions import display, scalars
 from tremorscope.operators import cells
 from tremorscope.sources import config, inputs, records
 
@@ -141,3 +141,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "x\t1\t2\t0.5\n"
     with pytest.raises(SystemExit):
         line.main(["analyze", "oracle", "--store", str(store), "--out", "x"], spark)
+
+
+def test_input_digest_by_rows_alone(spark):
+    rows = [("e", f"i{k % 7}", "s", k, None if k == 3 else k / 4) for k in range(50)]
+    shape = "env_id string, item_id string, system_id string, repeat_idx long, score double"
+    one = scalars.input_digest(spark.createDataFrame(rows, shape).repartition(7))
+    assert one == scalars.input_digest(spark.createDataFrame(rows[::-1], shape).coalesce(1)) and one.startswith("sha256:")
+    assert len({one, *(scalars.input_digest(spark.createDataFrame(x, shape)) for x in (rows[1:], rows + rows[:1], [("e", "i0", "s", 0, 9.0), *rows[1:]], []))}) == 5
