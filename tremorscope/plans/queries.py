@@ -320,6 +320,16 @@ def label_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(decay.label_interval(decay.group_means(views.signal_records(spark, sf_dir)), resamples=BOOTS), 10))
 
 
+@query
+def component_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(decay.item_interval(decay.group_means(views.signal_records(spark, sf_dir)), resamples=BOOTS), 10))
+
+
+@query
+def gap_shift_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(decay.shift_interval(decay.group_means(views.signal_records(spark, sf_dir)), resamples=BOOTS), 10))
+
+
 @query
 def sigma_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.sigma_interval(views.score_records(spark, sf_dir), resamples=BOOTS))

@@ -256,6 +256,15 @@ SELECT env_id, {r6('quantile_cont(o, 0.025)', 'ci_lo')}, {r6('quantile_cont(o, 0
     "label_ci": f"""WITH {SIGNAL}, {GROUPS}, placed AS (SELECT env_id, label, row_number() OVER (PARTITION BY env_id ORDER BY label) - 1 AS place FROM (SELECT DISTINCT env_id, label FROM shared)),
 {boots('label_boot', 'env_id', 'placed')}, weighted AS (SELECT s.*, replicate, times AS w FROM weights x JOIN placed p ON p.env_id = x.g AND p.place = x.place JOIN shared s ON s.env_id = p.env_id AND s.label = p.label), {parts('weighted', 'replicate')}
 SELECT env_id, {', '.join(r6(f'round(quantile_cont({c}, {q}), 10)', f'{c}_{n}') for c in ('omega_sq_main', 'omega_sq_int', 'omega_sq_between') for n, q in (('lo', 0.025), ('hi', 0.975)))} FROM split GROUP BY env_id""",
+    "component_ci": f"""WITH {SIGNAL}, {GROUPS}, weighted AS (SELECT *, 1 AS w FROM usable), {parts('weighted')}, placed AS (SELECT *, row_number() OVER (PARTITION BY env_id ORDER BY item_id) - 1 AS place FROM d4),
+{boots('item_boot', 'env_id', 'placed')}, reps AS (SELECT env_id, replicate, sum(times * main) / sum(times) AS omega_sq_main, sum(times * rest) / sum(times * n) AS omega_sq_int FROM weights x JOIN placed p ON p.env_id = x.g AND p.place = x.place GROUP BY ALL)
+SELECT env_id, {', '.join(r6(f'round(quantile_cont({c}, {q}), 10)', f'{c}_{n}') for c in ('omega_sq_main', 'omega_sq_int') for n, q in (('lo', 0.025), ('hi', 0.975)))}, any_value(n_items) AS n_items FROM reps JOIN (SELECT env_id, count(*) AS n_items FROM d4 GROUP BY ALL) USING (env_id) GROUP BY env_id""",
+    "gap_shift_ci": f"""WITH {SIGNAL}, {GROUPS}, l AS (SELECT env_id, system_id, label, avg(mean) AS m FROM shared GROUP BY ALL), placed AS (SELECT env_id, label, row_number() OVER (PARTITION BY env_id ORDER BY label) - 1 AS place FROM (SELECT DISTINCT env_id, label FROM shared)),
+{boots('shift_boot', 'env_id', 'placed')}, copies AS (SELECT p.env_id, p.label, replicate, unnest(range(times)) AS c FROM weights x JOIN placed p ON p.env_id = x.g AND p.place = x.place),
+gaps AS (SELECT a.env_id, a.label, a.system_id AS x, b.system_id AS y, a.m - b.m AS gap FROM l a JOIN l b ON a.env_id = b.env_id AND a.label = b.label AND a.system_id < b.system_id),
+sds AS (SELECT env_id, replicate, x, y, stddev_pop(gap) AS sd FROM gaps JOIN copies USING (env_id, label) GROUP BY ALL),
+medians AS (SELECT env_id, replicate, quantile_cont(sd, 0.5) AS v FROM sds GROUP BY ALL)
+SELECT env_id, {r6('round(quantile_cont(v, 0.025), 10)', 'median_sd_lo')}, {r6('round(quantile_cont(v, 0.975), 10)', 'median_sd_hi')}, any_value(n_labels) AS n_labels FROM medians JOIN (SELECT env_id, count(*) AS n_labels FROM placed GROUP BY ALL) USING (env_id) GROUP BY env_id""",
     "sigma_ci": f"""WITH {RECORDS}, {MOMENTS}, items AS (SELECT env_id, item_id, sum(q - s * s / n) AS ss, sum(n - 1) AS df FROM m WHERE n > 1 GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY env_id ORDER BY item_id) - 1 AS place FROM items),
 {boots('sigma_boot', 'env_id', 'placed')}, reps AS (SELECT env_id, replicate, sqrt(sum(times * ss) / sum(times * df)) AS sigma FROM weights w JOIN placed p ON p.env_id = w.g AND p.place = w.place GROUP BY ALL),
 ci AS (SELECT env_id, quantile_cont(sigma, 0.025) AS lo, quantile_cont(sigma, 0.975) AS hi, count(sigma) AS n_effective FROM reps GROUP BY ALL)
