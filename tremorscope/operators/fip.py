@@ -1,28 +1,25 @@
 """How often an observed improvement reverses on re-measurement, by its size.
 
-Cells are arrays; a draw shuffles a cell's repeats by hash, splits them into two disjoint pools and draws from each.
+Cells are arrays; a draw shuffles a cell's repeats by hash, splits them into two disjoint pools and draws from each,
+many cells and draws at once (``functions/draws.py``).
 Differences are sums of integers times a fixed step, so exact zeros stay exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import drawn_sum, shuffled
+from ..functions.draws import PairSums, dealt, joined, split_sums, table_of
 from ..schema import BIN_MULTIPLES, FIP_DRAWS, SEED, SWEEP
 from .cells import cells
 from .variance import pooled
 
 
-def halves(order: Column) -> tuple[Column, Column]:
-    """Shuffled scores as two disjoint pools, the smaller first."""
-    half = F.floor(F.size(order) / 2).cast("int")
-    return F.slice(order, F.lit(1), half), F.slice(order, half + 1, F.size(order) - half)
-
-
 def draws(records: DataFrame, estimation: Iterable[int], *, sweep: Sequence[int] = SWEEP, draws_per_pair: int = FIP_DRAWS, seed: int = SEED) -> DataFrame:
     """Per environment, N, pair and draw: the observed and the re-measured difference."""
     own = cells(records, estimation).where("n >= 2").select("env_id", "item_id", "system_id", "scores")
@@ -30,13 +27,26 @@ def draws(records: DataFrame, estimation: Iterable[int], *, sweep: Sequence[int]
     b = own.select("env_id", "item_id", F.col("system_id").alias("system_b"), F.col("scores").alias("scores_b"))
     rows = a.join(b, ["env_id", "item_id"]).where("system_a < system_b")
     # few cells, many draws: they are spread before the draws are made
-    rows = rows.repartition("env_id", "item_id", "system_a", "system_b").select("*", F.explode(F.array(*(F.lit(n) for n in sweep))).alias("n_repeats")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws_per_pair - 1))).alias("draw"))
-    key = ["fip", seed, F.col("env_id"), F.col("n_repeats"), F.concat_ws("~", "system_a", "system_b"), F.col("draw"), F.col("item_id")]
-    rows = rows.withColumn("oa", shuffled(F.col("scores_a"), *key, "a")).withColumn("ob", shuffled(F.col("scores_b"), *key, "b"))
-    (obs_a, re_a), (obs_b, re_b) = halves(F.col("oa")), halves(F.col("ob"))
-    n = F.col("n_repeats")
-    rows = rows.select("env_id", "n_repeats", "system_a", "system_b", "draw", (drawn_sum(obs_a, n, *key, "a", "obs") - drawn_sum(obs_b, n, *key, "b", "obs")).alias("obs"), (drawn_sum(re_a, n, *key, "a", "re") - drawn_sum(re_b, n, *key, "b", "re")).alias("re"))
-    sums = rows.groupBy("env_id", "n_repeats", "system_a", "system_b", "draw").agg(F.sum("obs").alias("obs"), F.sum("re").alias("re"), F.count("*").alias("n_items"))
+    rows = rows.repartition("env_id", "item_id", "system_a", "system_b")
+    pair, ns = ["env_id", "system_a", "system_b"], sorted(set(sweep))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = PairSums(pair, draws_per_pair)
+        for batch in batches:
+            (sizes_a, a), (sizes_b, b) = table_of(batch.column("scores_a")), table_of(batch.column("scores_b"))
+            env, item = batch.column("env_id"), batch.column("item_id")
+            names = pc.binary_join_element_wise(batch.column("system_a"), batch.column("system_b"), "~")
+            for n in ns:
+                for rows, of_draw in dealt(len(batch), draws_per_pair):
+                    at = pa.array(rows)
+                    heads = joined("fip", seed, env.take(at), n, names.take(at), pa.array(of_draw), item.take(at), "")
+                    obs_a, re_a = split_sums(heads, sizes_a[rows], a[rows], b"a|", (b"a|obs|", b"a|re|"), n)
+                    obs_b, re_b = split_sums(heads, sizes_b[rows], b[rows], b"b|", (b"b|obs|", b"b|re|"), n)
+                    sums.add(batch, n, rows, of_draw, obs_a - obs_b, re_a - re_b)
+        yield from sums.batches(("obs", "re"))
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in pair) + ", n_repeats int, draw int, obs double, re double, n_items long"
+    sums = rows.mapInArrow(drawn, schema).groupBy("env_id", "n_repeats", "system_a", "system_b", "draw").agg(F.sum("obs").alias("obs"), F.sum("re").alias("re"), F.sum("n_items").alias("n_items"))
     size = F.col("n_repeats") * F.col("n_items")
     return sums.where("obs <> 0").select("env_id", "n_repeats", "system_a", "system_b", "draw", (F.abs("obs") / size).alias("delta"), (F.when(F.col("obs") > 0, F.col("re")).otherwise(-F.col("re")) <= 0).alias("reversed"))
 
