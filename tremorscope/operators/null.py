@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import drawn_sum, shuffled
+from ..functions.draws import PairSums, dealt, joined, split_sums, table_of
 from ..schema import ALPHAS, CI_LEVEL, NULL_DRAWS, POWER, POWER_MOST, POWER_STEP, RESAMPLES, SEED, SWEEP
 from .cells import cells, supported
-from .fip import halves
 from .resample import half_width, multiplicities, percentile
 from .variance import pooled
 
@@ -20,14 +21,28 @@ def draws(records: DataFrame, estimation: Iterable[int], *, sweep: Sequence[int]
     estimation = list(estimation)
     own = cells(records, estimation).where("n >= 2").select("env_id", "item_id", "system_id", "n", "scores")
     few = F.broadcast(supported(records, estimation, sweep).select("env_id", "n_repeats"))  # environments times the sweep
-    rows = own.join(few, "env_id").repartition("env_id", "item_id", "system_id", "n_repeats").select("*", F.explode(F.sequence(F.lit(0), F.lit(draws_per_system - 1))).alias("draw"))
-    key = ["null", seed, F.col("env_id"), F.col("n_repeats"), F.col("system_id"), F.col("draw"), F.col("item_id")]
+    rows = own.join(few, "env_id").repartition("env_id", "item_id", "system_id", "n_repeats")
+    group = ["env_id", "system_id"]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = PairSums(group, draws_per_system)
+        for batch in batches:
+            sizes, scores = table_of(batch.column("scores"))
+            terms = 1 / (sizes // 2) + 1 / (sizes - sizes // 2)
+            repeats = batch.column("n_repeats").to_numpy()
+            for n in np.unique(repeats).tolist():
+                own = np.flatnonzero(repeats == n)
+                for some, of_draw in dealt(len(own), draws_per_system):
+                    rows = own[some]
+                    at = pa.array(rows)
+                    heads = joined("null", seed, batch.column("env_id").take(at), n, batch.column("system_id").take(at), pa.array(of_draw), batch.column("item_id").take(at), "")
+                    small, large = split_sums(heads, sizes[rows], scores[rows], b"", (b"a|", b"b|"), n)
+                    sums.add(batch, n, rows, of_draw, small - large, terms[rows])
+        yield from sums.batches(("d", "terms"))
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in group) + ", n_repeats int, draw int, d double, terms double, n_items long"
     n = F.col("n_repeats")
-    rows = rows.withColumn("order", shuffled(F.col("scores"), *key))
-    small, large = halves(F.col("order"))
-    half = F.floor(F.col("n") / 2)
-    rows = rows.select("env_id", "n_repeats", "system_id", "draw", (drawn_sum(small, n, *key, "a") - drawn_sum(large, n, *key, "b")).alias("d"), (1 / half + 1 / (F.col("n") - half)).alias("term"))
-    out = rows.groupBy("env_id", "n_repeats", "system_id", "draw").agg(F.sum("d").alias("d"), F.count("*").alias("n_items"), F.avg("term").alias("pool_term"))
+    out = rows.mapInArrow(drawn, schema).groupBy("env_id", "n_repeats", "system_id", "draw").agg(F.sum("d").alias("d"), F.sum("n_items").alias("n_items"), (F.sum("terms") / F.sum("n_items")).alias("pool_term"))
     return out.select("env_id", "n_repeats", "system_id", "draw", (F.col("d") / (n * F.col("n_items"))).alias("delta"), "pool_term", "n_items")
 
 
